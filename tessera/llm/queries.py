@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, topk
+from . import chat, fingerprint, langid, mixing, resharding, topk
 
 QUERIES = {
+    "op3_resharding": resharding.op3_resharding,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_chat_format": chat.op7_chat_format,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_language_id": langid.op9_language_id,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLE_SQL = {
     "op6_source_mixing": mixing.OP6_SQL,
+    "op7_chat_format": chat.OP7_SQL,
     "op10_exact_topk": topk.OP10_SQL,
 }
