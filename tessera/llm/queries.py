@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, mixing, resharding, topk
+from . import chat, fingerprint, langid, mixing, packing, resharding, tokenio, topk
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_resharding": resharding.op3_resharding,
+    "op5_token_binary": tokenio.op5_token_binary,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_chat_format": chat.op7_chat_format,
     "op8_fingerprints": fingerprint.op8_fingerprints,
