@@ -78,10 +78,10 @@ def _found(rows: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame, min_owners: int) -> DataFrame:
-    """__row and its judged spans: struct(start, rank, end, kind, base, verdict), by start and kind."""
+    """__row and its judged spans: struct(start, rank, end, kind, base, verdict, value_start), by start and kind."""
     found = _found(rows)
     verdicts = ownership(found.select("owner", "repo", "hash", "strong"), min_owners).select("hash", "verdict")
-    judged = found.join(verdicts, "hash").select("__row", F.struct("span.start", "span.rank", "span.end", "span.kind", "span.base", "verdict").alias("span"))
+    judged = found.join(verdicts, "hash").select("__row", F.struct("span.start", "span.rank", "span.end", "span.kind", "span.base", "verdict", (F.col("span.end") - F.length("span.value")).alias("value_start")).alias("span"))
     return judged.groupBy("__row").agg(F.array_sort(F.collect_list("span")).alias("__judged"))
 
 
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", min_owner
 
 
 def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", min_owners: int = MIN_OWNERS, mask: str = MASK) -> DataFrame:
-    """docs with live-looking credentials masked in text; examples that many owners share stay. All columns are kept.
+    """docs with the values of live-looking credentials masked in text; examples that many owners share stay. All columns are kept.
 
     Only rows with candidates are written and joined; all others pass through the scan.
     """
@@ -121,7 +121,7 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", min_own
     live = F.filter("__judged", lambda s: s["verdict"] == "live")
 
     def step(acc: Column, s: Column) -> Column:
-        start, text = F.greatest(s["start"], acc["at"]), F.col("text")
+        start, text = F.greatest(s["value_start"], acc["at"]), F.col("text")
         masked = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.when(s["end"] > acc["at"], F.lit(mask)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), masked.alias("out"))
 
