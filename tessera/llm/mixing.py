@@ -51,7 +51,7 @@ def offset(skey: Column, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, skey, size, tie, source_size, target, copies (0 to ceil(most)) for each row of docs (doc_id, source, text).
+    """doc_id, skey, size, source_size, target, copies (0 to ceil(most)) for each row of docs (doc_id, source, text).
 
     Null text has size 0; null source is a source of its own, last; a source without words has target 0 and no copies;
     an empty table gives an empty result. Rows with equal source, size and doc_id are interchangeable. Other columns are
@@ -79,14 +79,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that agree in doc_id, source and size may swap copies."""
-    names = docs.columns
-    tag = Window.partitionBy("doc_id", "__skey", "__size").orderBy(F.lit(1))
-    chosen = mix(docs, **options).filter("copies > 0").select(F.col("doc_id"), F.col("skey").alias("__skey"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    chosen = chosen.withColumn("__tie", F.row_number().over(Window.partitionBy("doc_id", "__skey", "__size").orderBy("__copies")))
-    tagged = docs.withColumn("__skey", _key(F.col("source"))).withColumn("__size", n_words(F.col("text"))).withColumn("__tie", F.row_number().over(tag))
-    same = [tagged[c].eqNullSafe(chosen[c]) for c in ("doc_id", "__skey", "__size", "__tie")]
-    joined = tagged.join(chosen, same[0] & same[1] & same[2] & same[3])
-    return joined.select(*[tagged[c] for c in names], F.explode(F.sequence(F.lit(1), chosen["__copies"].cast("int"))).alias("__copy")).select(*names)
+    same = ["__id", "__key", "__size", "__tie"]
+    tie = lambda order: F.row_number().over(Window.partitionBy(*same[:3]).orderBy(order))
+    chosen = mix(docs, **options).filter("copies > 0").select(F.struct("doc_id").alias("__id"), F.col("skey").alias("__key"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    tagged = docs.select(F.struct("*").alias("__doc"), F.struct("doc_id").alias("__id"), _key(F.col("source")).alias("__key"), n_words(F.col("text")).alias("__size"))
+    chosen, tagged = chosen.withColumn("__tie", tie("__copies")), tagged.withColumn("__tie", tie(F.lit(1)))
+    joined = tagged.join(chosen.withColumnsRenamed({c: f"{c}_of" for c in same}), [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in same])
+    return joined.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__doc.*")
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:

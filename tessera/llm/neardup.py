@@ -352,14 +352,13 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, trees: int
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without all but one of each group; rows without words stay. All columns are kept."""
-    names = docs.columns
     found = groups(docs, **options)
     stay = found.filter("row = keeper").filter("n_shingles > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    own = docs.filter(words).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    joined = own.join(stay, own["__id"].eqNullSafe(stay["__id"]) & (own["__hash"] == stay["__hash"]), "left_semi")
-    one = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))).filter("__n = 1")
-    return one.select(*names).unionByName(docs.filter(~words))
+    own = docs.filter(words).select(F.struct("*").alias("__doc"), F.col("doc_id").cast("long").alias("__own"), F.xxhash64("text").alias("__text"))
+    joined = own.join(stay, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    one = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__own", "__text").orderBy(F.lit(1)))).filter("__n = 1")
+    return one.select("__doc.*").unionByName(docs.filter(~words))
 
 
 def op4_minhash_neardup(spark, sf_dir: str) -> DataFrame:

@@ -125,19 +125,20 @@ def text_bytes(text) -> F.Column:
 
 
 def write_layout(docs: DataFrame, old_shard, files: int | None = None) -> DataFrame:
-    """Write docs as files of their old shards; all columns are kept beside __old, __file, __bucket, __sub.
+    """Write docs as files of their old shards: each row as __doc, so that no column of theirs can clash, with __old, __file, __bucket, __sub.
 
     A bucket of equal texts with far more rows than the mean is cut into units by doc_id, so that no task meets an
     unbounded group.
     """
-    tagged = docs.withColumns({"__old": old_shard.cast("int"), "__bucket": F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(BUCKETS)).cast("int")})
-    sizes = tagged.groupBy("__old", "__bucket").agg(F.count("*").alias("rows"), F.sum(text_bytes(F.col("text"))).alias("bytes"))
+    bucket = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(BUCKETS)).cast("int")
+    tagged = docs.select(F.struct("*").alias("__doc"), old_shard.cast("int").alias("__old"), bucket.alias("__bucket"))
+    sizes = tagged.groupBy("__old", "__bucket").agg(F.count("*").alias("rows"), F.sum(text_bytes(F.col("__doc.text"))).alias("bytes"))
     found = sizes.collect()  # at most old shards * BUCKETS rows
     a_unit = max(1, 4 * sum(r["rows"] for r in found) // MAX_SUBS, 4 * sum(r["rows"] for r in found) // max(1, len(found)))
     large = [(r["__old"], r["__bucket"], -(-r["rows"] // a_unit)) for r in found if r["rows"] > a_unit]
     many = docs.sparkSession.createDataFrame(large, "__old int, __bucket int, __subs int")
     files = files or min(BUCKETS, max(4, sum(r["bytes"] for r in found) // max(1, len({r["__old"] for r in found})) // FILE_BYTES))
-    sub = F.pmod(F.xxhash64("doc_id"), F.coalesce("__subs", F.lit(1))).cast("int")
+    sub = F.pmod(F.xxhash64("__doc.doc_id"), F.coalesce("__subs", F.lit(1))).cast("int")
     placed = tagged.join(F.broadcast(many), ["__old", "__bucket"], "left").withColumn("__sub", sub).drop("__subs")
     placed = placed.withColumn("__file", F.pmod(F.col("__bucket") + F.col("__sub"), F.lit(files)).cast("int"))
     return keep(placed.repartition("__old", "__file").sortWithinPartitions("__old", "__file"), "shards-old", ["__old", "__file"])
@@ -145,7 +146,7 @@ def write_layout(docs: DataFrame, old_shard, files: int | None = None) -> DataFr
 
 def plan(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] | None = None) -> DataFrame:
     """One row a unit: its new shard, the slot of its first row, and whether its file must be written again."""
-    units = layout.groupBy(*_UNIT, "__file").agg(F.count("*").alias("rows"), F.sum(text_bytes(F.col("text"))).alias("bytes")).collect()
+    units = layout.groupBy(*_UNIT, "__file").agg(F.count("*").alias("rows"), F.sum(text_bytes(F.col("__doc.text"))).alias("bytes")).collect()
     units.sort(key=lambda r: (r["__old"], r["__bucket"], r["__sub"]))
     total = sum(r["bytes"] for r in units)
     n_old, capacity = max([0, *(r["__old"] for r in units)]) + 1, even(total, n_new)
@@ -172,7 +173,7 @@ def plan(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] | Non
 
 
 def reshard(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] | None = None) -> DataFrame:
-    """The documents under their new shards, read from the files: the columns of docs, __shard and __slot (gapless from 0).
+    """The documents under their new shards, read from the files: __doc, __shard, and the slot __first of their unit's first row.
 
     Null text has size 1 and counts as the empty text's group; a null doc_id is a value like others; rows equal in
     doc_id and text may swap slots; an empty layout gives an empty result.
@@ -193,7 +194,7 @@ def op3_resharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     old = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
     new = reshard(write_layout(docs, old))
-    slim = new.select("doc_id", text_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), *_UNIT, "__shard", "__first")
+    slim = new.select("__doc.doc_id", text_bytes(F.col("__doc.text")).alias("size"), F.crc32(F.coalesce("__doc.text", F.lit("")).cast("binary")).alias("text_crc32"), *_UNIT, "__shard", "__first")
     place = F.row_number().over(Window.partitionBy(*_UNIT).orderBy("doc_id", "text_crc32"))
     return slim.withColumn("__place", place).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), (F.col("__first") + F.col("__place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -86,8 +86,10 @@ def _judged(rows: DataFrame, min_owners: int) -> DataFrame:
 
 
 def _with_candidates(docs: DataFrame, owner: str, repo: str) -> DataFrame:
-    names = {c: docs[c] for c in docs.columns}
-    return docs.select(*names.values(), names[owner].cast("string").alias("__owner"), names[repo].cast("string").alias("__repo"), candidates(F.coalesce(names["text"], F.lit(""))).alias("__spans"))
+    """The rows of docs as __doc, so that no column of theirs can clash, with owner, repository and candidates."""
+    return docs.select(
+        F.struct("*").alias("__doc"), docs[owner].cast("string").alias("__owner"), docs[repo].cast("string").alias("__repo"), candidates(F.coalesce(docs["text"], F.lit(""))).alias("__spans")
+    )
 
 
 def _joined(spans: Column) -> Column:
@@ -102,7 +104,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", min_owner
     result. The table of candidates, without texts, is written once.
     """
     own = list(dict.fromkeys(["doc_id", "text", owner, repo]))
-    rows = _with_candidates(docs.select(*own), owner, repo).select("doc_id", "__owner", "__repo", "__spans")
+    rows = _with_candidates(docs.select(*own), owner, repo).select("__doc.doc_id", "__owner", "__repo", "__spans")
     rows = keep(rows.withColumn("__row", F.monotonically_increasing_id()), "secret-candidates")
     some, none = rows.filter(F.size("__spans") > 0), rows.filter(F.size("__spans") == 0)
     judged = some.select("__row", "doc_id").join(_judged(some, min_owners), "__row").select("doc_id", F.col("__judged").alias("spans"))
@@ -115,18 +117,18 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", min_own
     Only rows with candidates are written and joined; all others pass through the scan.
     """
     tagged = _with_candidates(docs, owner, repo)
-    plain = tagged.filter(F.size("__spans") == 0).select(*docs.columns)
+    plain = tagged.filter(F.size("__spans") == 0).select("__doc.*")
     rows = keep(tagged.filter(F.size("__spans") > 0).withColumn("__row", F.monotonically_increasing_id()), "secret-rows")
     judged = rows.join(_judged(rows, min_owners), "__row")
     live = F.filter("__judged", lambda s: s["verdict"] == "live")
 
     def step(acc: Column, s: Column) -> Column:
-        start, text = F.greatest(s["value_start"], acc["at"]), F.col("text")
+        start, text = F.greatest(s["value_start"], acc["at"]), F.col("__doc.text")
         masked = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.when(s["end"] > acc["at"], F.lit(mask)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), masked.alias("out"))
 
-    text = F.aggregate(live, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return judged.withColumn("text", text).select(*docs.columns).unionByName(plain)
+    text = F.aggregate(live, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("__doc.text"), acc["at"] + 1, F.length("__doc.text"))))
+    return judged.select(F.col("__doc").withField("text", text).alias("__doc")).select("__doc.*").unionByName(plain)
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
