@@ -3,7 +3,8 @@
 Documents with equal shingle sets form a class. Each class descends TREES independent trees: a node chooses BRANCHES
 coordinates of a minwise signature, and a document goes to the child named by its token there, so a similar pair stays
 together in a child with its similarity as the chance. A node of at most LEAF documents is compared exhaustively by
-signature; a larger one branches again. With two branches at a level a pair at similarity 0.8 survives a tree of any
+signature. A larger one branches again, unless half of it is likely similar to its first document: such a group would
+not split, so it becomes candidate edges as a whole. With two branches at a level a pair at similarity 0.8 survives a tree of any
 depth with a chance of at least 15/16, and misses all eight trees with one of 1 in 4 * 10**9.
 
 Leaves give edges of a candidate graph, enough to connect what may be similar. Its components are then joined exactly:
@@ -27,7 +28,7 @@ SHINGLE = 5
 PERCENT = 80
 TREES = 8
 BRANCHES = 2
-LEAF = 256
+LEAF = 1024
 DEPTH = 6
 COORDINATES = 64
 #: Share of equal signature coordinates from which a pair may be similar: over five deviations under 0.8.
@@ -169,6 +170,15 @@ def _children(branches: int):
     return run
 
 
+def _near_pivot(likely: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_signatures(batch.column("signature")) == _signatures(batch.column("pivot"))).mean(1) >= likely
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "row", "least")), pa.array(near.astype(np.int32))], ["node", "row", "least", "near"])
+
+    return run
+
+
 def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -278,15 +288,21 @@ def _candidate_edges(classes: DataFrame, trees: int, branches: int, leaf: int, d
         forget(level)
         ordered = shared.filter(F.col("n") <= leaf).select("node", "row").join(classes.select("row", "signature"), "row").repartition("node").sortWithinPartitions("node", "row")
         edges = ordered.select("node", "row", "signature").mapInArrow(_compare(LIKELY), "a long, b long").distinct()
-        large = shared.filter(F.col("n") > leaf)
-        more = not large.isEmpty()
-        if more and at == depth:  # all of these agree in every coordinate on their path
-            edges = edges.unionByName(large.select(F.col("row").alias("a"), F.col("least").alias("b")))
         edges = keep(edges, f"edges-{at}")
         found = edges if found is None else found.unionByName(edges)
-        if not more or at == depth:
+        large = shared.filter(F.col("n") > leaf)
+        if large.isEmpty():
+            return found
+        signed = classes.select("row", "signature")
+        pivots = large.select("least").distinct().join(signed.withColumnsRenamed({"row": "least", "signature": "pivot"}), "least")
+        judged = large.select("node", "row", "least").join(signed, "row").join(pivots, "least").mapInArrow(_near_pivot(LIKELY), "node long, row long, least long, near int")
+        judged = keep(judged, f"large-{at}")
+        tight = judged.groupBy("node").agg(F.avg("near").alias("share")).filter((F.col("share") >= 0.5) | F.lit(at == depth))
+        found = found.unionByName(keep(judged.join(tight, "node", "left_semi").select(F.col("row").alias("a"), F.col("least").alias("b")), f"tight-{at}"))
+        loose = judged.join(tight, "node", "left_anti")
+        if at == depth or loose.isEmpty():
             return found
-        level = large.select("node", "row").join(classes.select("row", "signature"), "row").select("node", "row", "signature").mapInArrow(_children(branches), "node long, row long")
+        level = loose.select("node", "row").join(signed, "row").select("node", "row", "signature").mapInArrow(_children(branches), "node long, row long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
