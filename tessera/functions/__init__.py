@@ -1,0 +1 @@
+"""The analyzer and the scores."""

@@ -1,0 +1 @@
+"""Index building, search, ranking and metrics."""

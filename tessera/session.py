@@ -24,3 +24,10 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def memory_status(spark: SparkSession) -> dict[str, tuple[int, int]]:
+    """Bytes of storage memory in use (at least 1) and in all, by executor; spilling itself is the engine's business."""
+    found = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    pairs = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found)
+    return {str(k): (max(1, int(v._1()) - int(v._2())), int(v._1())) for k, v in dict(pairs).items()}

@@ -1,0 +1 @@
+"""Corpora, query files, saved indexes and binary posting files."""

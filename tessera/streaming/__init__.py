@@ -1,0 +1 @@
+"""Reserved: an index is built once from finite input, and nothing here runs on streams."""
