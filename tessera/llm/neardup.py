@@ -35,6 +35,7 @@ COORDINATES = 64
 LIKELY = 0.53
 #: Documents and shingles of a candidate component that one task joins.
 BLOCK_DOCS, BLOCK_SHINGLES = 2000, 4_000_000
+SALTS = 64
 _BITS = 1 << 26
 _PROFILE = "row long, doc_id long, text_hash long, n_shingles long, h1 long, h2 long, signature binary"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -295,7 +296,9 @@ def _candidate_edges(classes: DataFrame, trees: int, branches: int, leaf: int, d
             return found
         signed = classes.select("row", "signature")
         pivots = large.select("least").distinct().join(signed.withColumnsRenamed({"row": "least", "signature": "pivot"}), "least")
-        judged = large.select("node", "row", "least").join(signed, "row").join(pivots, "least").mapInArrow(_near_pivot(LIKELY), "node long, row long, least long, near int")
+        salted = large.select("node", "row", "least", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))  # a hot node's rows share one pivot
+        pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        judged = salted.join(signed, "row").join(pivots, ["least", "salt"]).select("node", "row", "least", "signature", "pivot").mapInArrow(_near_pivot(LIKELY), "node long, row long, least long, near int")
         judged = keep(judged, f"large-{at}")
         tight = judged.groupBy("node").agg(F.avg("near").alias("share")).filter((F.col("share") >= 0.5) | F.lit(at == depth))
         found = found.unionByName(keep(judged.join(tight, "node", "left_semi").select(F.col("row").alias("a"), F.col("least").alias("b")), f"tight-{at}"))
