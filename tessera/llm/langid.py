@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
-The models are fitted on a bounded sample of labelled documents (SAMPLE_DOCS for each language, each of at most
-SAMPLE_CHARS characters) and stored in sorted hash arrays: for each order, the n-grams that any language has seen, with
+The models are fitted on a bounded sample of labelled documents (SAMPLE_DOCS for each language and SAMPLE_TOTAL in all,
+each of at most SAMPLE_CHARS characters) and stored in sorted hash arrays: for each order, the n-grams that any language has seen, with
 one column of interpolated log-probabilities a language; and their contexts with the weights for backing off. A text
 gets the language with the lowest cross-entropy per character over all of its characters. It is rejected when even that
 lies above what texts of its length reach, as calibrated on sample documents that the counts leave out.
@@ -22,6 +22,8 @@ from .common import text_batches
 ORDER = 4
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 20000
+#: Documents over all languages; with many languages each gets fewer, though 20 at least.
+SAMPLE_TOTAL = 12000
 _BITS = 12
 _UNKNOWN = (1 << _BITS) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -221,6 +223,8 @@ def in_training(doc_id) -> F.Column:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Models:
     """Models from the labelled training rows of docs (doc_id, text, lang): for each language the sample_docs rows with the smallest hash of their id."""
     rows = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(F.length("text") <= sample_chars)
+    langs = docs.filter(in_training(F.col("doc_id"))).agg(F.count_distinct("lang")).first()[0]
+    sample_docs = min(sample_docs, max(20, SAMPLE_TOTAL // max(1, langs)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     ids = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull()).filter(F.length("text") <= sample_chars).select("lang", F.xxhash64("doc_id").alias("h"))
     limits = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= sample_docs).groupBy("lang").agg(F.max("h").alias("last"))
