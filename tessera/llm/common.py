@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch of whole texts; keeps a batch small even where texts are long.
-TEXT_ROWS = 256
+#: Rows and bytes in one Arrow batch of whole texts; a text that is longer makes a batch of its own.
+TEXT_ROWS, TEXT_BYTES = 1024, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +54,7 @@ def forget(df: DataFrame) -> None:
 def text_batches(spark: SparkSession) -> None:
     """Make Arrow batches short in this session, for plans that send whole texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def search_sorted(value: Column, bounds: list[int]) -> Column:

@@ -14,16 +14,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
 
 ORDER = 4
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 800
 SAMPLE_CHARS = 20000
 #: Documents over all languages; with many languages each gets fewer, though 20 at least.
-SAMPLE_TOTAL = 12000
+SAMPLE_TOTAL = 6400
+#: Characters scored at a time, to bound memory.
+SCORE_CHARS = 500_000
 _BITS = 12
 _UNKNOWN = (1 << _BITS) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -117,6 +119,12 @@ class Models:
 
     def entropies(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character in each language, and the number of characters; texts come from letters() and aren't empty."""
+        cuts = np.cumsum([len(t) for t in texts]) // SCORE_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]
+        parts = [self._entropies(texts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        return np.concatenate([e for e, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _entropies(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         order = len(self.grams)
         pad = np.zeros(order - 2, np.uint32)
         joined = [np.concatenate([pad, t]) for t in texts]
@@ -221,15 +229,23 @@ def in_training(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Models:
-    """Models from the labelled training rows of docs (doc_id, text, lang): for each language the sample_docs rows with the smallest hash of their id."""
-    rows = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(F.length("text") <= sample_chars)
-    langs = docs.filter(in_training(F.col("doc_id"))).agg(F.count_distinct("lang")).first()[0]
-    sample_docs = min(sample_docs, max(20, SAMPLE_TOTAL // max(1, langs)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    ids = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull()).filter(F.length("text") <= sample_chars).select("lang", F.xxhash64("doc_id").alias("h"))
-    limits = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= sample_docs).groupBy("lang").agg(F.max("h").alias("last"))
-    chosen = rows.join(F.broadcast(limits), "lang").filter(F.xxhash64("doc_id") <= F.col("last")).withColumn("place", place).filter(F.col("place") <= sample_docs)
-    return fit([(r["lang"], r["text"]) for r in chosen.select("lang", "text", "place").orderBy("lang", "place").collect()])
+    """Models from the labelled training rows of docs (doc_id, text, lang).
+
+    A language's rows are thinned by a hash of their id to about 1.2 times its share of the sample, and cut to it in the
+    order of that hash; no task gathers a language.
+    """
+    spark = docs.sparkSession
+    rows = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= sample_chars)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("place"))
+    counts = rows.groupBy("lang").count().collect()  # a row a language
+    share = min(sample_docs, max(20, SAMPLE_TOTAL // max(1, len(counts))))
+    limits = spark.createDataFrame([(r["lang"], int(min(1.0, (1.2 * share + 30) / r["count"]) * (1 << 31))) for r in counts], "lang string, last long")
+    chosen = rows.join(F.broadcast(limits), "lang").filter("place < last").limit(4 * max(SAMPLE_TOTAL, share * len(counts)))  # rows with one id share a hash
+    labelled, taken = [], dict.fromkeys((r["lang"] for r in counts), 0)
+    for r in sorted(chosen.select("lang", "text", "place").collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
+        if taken[r["lang"]] < share:
+            labelled.append((r["lang"], r["text"]))
+            taken[r["lang"]] += 1
+    return fit(labelled)
 
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:
