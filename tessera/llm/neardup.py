@@ -28,7 +28,7 @@ SHINGLE = 5
 PERCENT = 80
 TREES = 8
 BRANCHES = 2
-LEAF = 1024
+LEAF = 2048
 DEPTH = 6
 COORDINATES = 64
 #: Share of equal signature coordinates from which a pair may be similar: over five deviations under 0.8.
@@ -285,6 +285,7 @@ def _candidate_edges(classes: DataFrame, trees: int, branches: int, leaf: int, d
     for at in range(depth + 1):
         level = keep(level, f"level-{at}")
         counts = level.groupBy("node").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1")
+        counts = keep(counts, f"counts-{at}")  # a table of its own, so that the join can split a hot node
         shared = keep(level.join(counts, "node"), f"shared-{at}")
         forget(level)
         ordered = shared.filter(F.col("n") <= leaf).select("node", "row").join(classes.select("row", "signature"), "row").repartition("node").sortWithinPartitions("node", "row")
