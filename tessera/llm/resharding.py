@@ -144,8 +144,8 @@ def write_layout(docs: DataFrame, old_shard, files: int | None = None) -> DataFr
     return keep(placed.repartition("__old", "__file").sortWithinPartitions("__old", "__file"), "shards-old", ["__old", "__file"])
 
 
-def plan(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] | None = None) -> DataFrame:
-    """One row a unit: its new shard, the slot of its first row, and whether its file must be written again."""
+def plan(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] | None = None) -> tuple[DataFrame, int]:
+    """One row a unit: its new shard, the slot of its first row, and whether its file must be written again. Also in how many files to write what a shard gets."""
     units = layout.groupBy(*_UNIT, "__file").agg(F.count("*").alias("rows"), F.sum(text_bytes(F.col("__doc.text"))).alias("bytes")).collect()
     units.sort(key=lambda r: (r["__old"], r["__bucket"], r["__sub"]))
     total = sum(r["bytes"] for r in units)
@@ -169,7 +169,8 @@ def plan(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] | Non
     for r, s in zip(units, shard, strict=True):
         rows.append((r["__old"], r["__bucket"], r["__sub"], s, filled[s], (r["__old"], r["__file"]) in again))
         filled[s] += r["rows"]
-    return layout.sparkSession.createDataFrame(rows, "__old int, __bucket int, __sub int, __shard int, __first long, __again boolean")
+    files = max(8, total // n_new // FILE_BYTES)
+    return layout.sparkSession.createDataFrame(rows, "__old int, __bucket int, __sub int, __shard int, __first long, __again boolean"), files
 
 
 def reshard(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] | None = None) -> DataFrame:
@@ -179,10 +180,10 @@ def reshard(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] |
     doc_id and text may swap slots; an empty layout gives an empty result.
     """
     spark = layout.sparkSession
-    moves = F.broadcast(plan(layout, n_new, cost))
-    placed = layout.join(moves, _UNIT)
+    moves, files = plan(layout, n_new, cost)
+    placed = layout.join(F.broadcast(moves), _UNIT)
     path = scratch(spark, "shards-new")
-    changed = placed.filter("__again").withColumn("__part", F.pmod(F.col("__bucket") + F.col("__sub"), F.lit(4)))
+    changed = placed.filter("__again").withColumn("__part", F.pmod(F.xxhash64("__bucket", "__sub"), F.lit(files)))
     changed.repartition("__shard", "__part").sortWithinPartitions("__shard", *_UNIT).drop("__again", "__part").write.option("compression", "zstd").partitionBy("__shard").parquet(path)
     names = [c for c in placed.columns if c != "__again"]
     rewritten = spark.read.schema(placed.select(*names).schema).parquet(path).select(*names)
