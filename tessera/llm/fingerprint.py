@@ -3,6 +3,10 @@
 A text has two modular prefix arrays, S[i] = sum of c[j] * B^j for j < i. They answer whether any two spans are equal
 in constant time, and a binary search over them finds the longest common extension of two positions. The fingerprint
 of a whole text is its length and the two last entries.
+
+near_edited and near_next are the shares that one common extension from either end covers. aligned_next goes on past
+mismatches: equal windows of SPAN code points are anchors, extended both ways, and the heaviest chain of them in the
+order of both texts counts.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from .common import search_sorted, text_batches
 #: (modulus, base): primes under 2**31, so that products stay in 64 bits.
 MODULI = ((2147483647, 1103515249), (2147483629, 862345133))
 ROWS_A_PART = 2048
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+#: Code points of an anchor: what is equal in fewer between two edits does not count, as unrelated texts share that too.
+SPAN = 16
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, aligned_next double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("aligned_next", pa.float64())])
 _powers = [np.ones(1, np.uint64) for _ in MODULI]
 
 
@@ -45,7 +51,7 @@ class PrefixHash:
 
     def __init__(self, chars: np.ndarray, head: PrefixHash | None = None, shared: int = 0):
         """head, shared: the first `shared` code points are those of head, whose entries are used again."""
-        self.n, self.sums = len(chars), []
+        self.n, self.chars, self.sums = len(chars), chars, []
         for which, (modulus, _) in enumerate(MODULI):
             m = np.uint64(modulus)
             terms = (chars[shared:] + np.uint64(1)) * powers(which, self.n)[shared:] % m
@@ -75,13 +81,17 @@ class PrefixHash:
             low, high = (mid, high) if self.same(i, other, j, mid) else (low, mid - 1)
         return low
 
-    def common_suffix(self, other: PrefixHash, most: int) -> int:
+    def common_before(self, i: int, other: PrefixHash, j: int, most: int) -> int:
+        """The longest common extension to the left of i here and j there, up to most."""
         low, high = 0, most
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.same(self.n - mid, other, other.n - mid, mid) else (low, mid - 1)
+            low, high = (mid, high) if self.same(i - mid, other, j - mid, mid) else (low, mid - 1)
         return low
 
+    def common_suffix(self, other: PrefixHash, most: int) -> int:
+        return self.common_before(self.n, other, other.n, most)
+
     def likeness(self, other: PrefixHash) -> float:
         """The share of the longer text that a common prefix and a common suffix cover, 1 for equal texts."""
         longer, shorter = max(self.n, other.n), min(self.n, other.n)
@@ -90,6 +100,70 @@ class PrefixHash:
         head = self.common_prefix(0, other, 0)
         return (head + self.common_suffix(other, shorter - head)) / longer
 
+    def windows(self, top: int) -> np.ndarray:
+        """A hash of each window of SPAN code points; those of two texts are comparable for one top >= both lengths."""
+        out = np.zeros(max(0, self.n - SPAN + 1), np.uint64)
+        for which, (modulus, _) in enumerate(MODULI):
+            m, sums = np.uint64(modulus), self.sums[which]
+            lift = powers(which, top + 1)[top - len(out) + 1 : top + 1][::-1]
+            out = (out << np.uint64(32)) | (sums[SPAN:] + m - sums[: len(out)]) % m * lift % m
+        return out
+
+    def runs(self, other: PrefixHash) -> np.ndarray:
+        """Rows (i, j, length) of equal spans, as long as they can be; equal windows are paired by their place among equals, from the first and from the last."""
+        top = max(self.n, other.n)
+        mine, theirs = self.windows(top), other.windows(top)
+        none = np.zeros((0, 3), np.int64)
+        if not len(mine) or not len(theirs):
+            return none
+        known = np.sort(theirs)
+        here = np.flatnonzero(known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine)
+        if not len(here):
+            return none
+        there = np.flatnonzero(np.isin(theirs, mine[here]))
+        here, there = here[np.argsort(mine[here], kind="stable")], there[np.argsort(theirs[there], kind="stable")]
+        a, b = mine[here], theirs[there]
+        at = np.arange(len(a))
+        first, last = np.searchsorted(b, a), np.searchsorted(b, a, "right")
+        front = first + at - np.searchsorted(a, a)
+        back = last - np.searchsorted(a, a, "right") + at
+        found = []
+        for to, good in ((front, front < last), (back, back >= first)):
+            i, j = here[good], there[to[good]]
+            order = np.argsort(i)
+            i, j = i[order], j[order]
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1, [len(i)]])
+            found.append(np.column_stack([i[edges[:-1]], j[edges[:-1]], np.diff(edges) + SPAN - 1]))
+        found = np.unique(np.concatenate(found), axis=0)
+        i, j, n = found.T
+        more = (i + n < self.n) & (j + n < other.n) & (self.chars[np.minimum(i + n, self.n - 1)] == other.chars[np.minimum(j + n, other.n - 1)])
+        less = (i > 0) & (j > 0) & (self.chars[i - 1] == other.chars[j - 1])
+        for k in np.flatnonzero(more | less).tolist():
+            x, y, length = found[k].tolist()
+            before = self.common_before(x, other, y, min(x, y))
+            found[k] = x - before, y - before, before + length + self.common_prefix(x + length, other, y + length)
+        return np.unique(found, axis=0) if (more | less).any() else found
+
+    def aligned(self, other: PrefixHash) -> float:
+        """The share of the longer text that equal spans cover which follow each other in both texts, 1 for equal texts.
+
+        Common prefix and suffix are among the spans, so it is never below likeness(). A span that overlaps the one before it
+        in either text counts from where that one ends.
+        """
+        longer, shorter = max(self.n, other.n), min(self.n, other.n)
+        head = self.common_prefix(0, other, 0)
+        if head == longer:
+            return 1.0
+        tail = self.common_suffix(other, shorter)
+        ends = np.array([[0, 0, head], [self.n - tail, other.n - tail, tail]])
+        spans = np.concatenate([ends, self.runs(other)])
+        i, j, n = spans[np.lexsort((spans[:, 1], spans[:, 0]))].T
+        stop, other_stop, total = i + n, j + n, n.copy()
+        for k in range(1, len(n)):
+            over = np.maximum(np.maximum(stop[:k] - i[k], other_stop[:k] - j[k]), 0)
+            total[k] = max(n[k], (total[:k] + n[k] - over)[over < n[k]].max(initial=0))
+        return int(total.max()) / longer
+
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the row after it in its part; the first ghost row closes a part."""
@@ -114,7 +188,7 @@ def _row(doc, text: str, chars: np.ndarray, prefix: PrefixHash, after: str, afte
     edited = PrefixHash(np.concatenate([chars[:stay], after_chars[:quarter]]), prefix, stay)
     return {
         "doc_id": doc, "n_chars": len(chars), "edited_sha256": hashlib.sha256((text[:stay] + after[:quarter]).encode("utf-8", "surrogatepass")).hexdigest(),
-        "fingerprint": prefix.fingerprint(), "edited_fingerprint": edited.fingerprint(), "near_edited": prefix.likeness(edited), "near_next": prefix.likeness(after_prefix),
+        "fingerprint": prefix.fingerprint(), "edited_fingerprint": edited.fingerprint(), "near_edited": prefix.likeness(edited), "near_next": prefix.likeness(after_prefix), "aligned_next": prefix.aligned(after_prefix),
     }
 
 

@@ -67,3 +67,36 @@ def test_small(spark):
     assert fingerprint.fingerprints(docs_table(spark, [])).count() == 0
     one = fingerprint.fingerprints(docs_table(spark, [(3, "abcdefgh", "en", "a")])).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for n, y in enumerate(b, 1):
+            row[n] = before[n - 1] + 1 if x == y else max(before[n], row[n - 1])
+    return row[-1]
+
+
+@given(st.text(alphabet="ab", max_size=90), st.text(alphabet="ab", max_size=90))
+def test_aligned_bounds(a, b):
+    x, y = PrefixHash(codes(a)), PrefixHash(codes(b))
+    longer = max(len(a), len(b), 1)
+    assert like(a, b) - 1e-9 <= x.aligned(y) <= max(longest_common(a, b) / longer, float(a == b)) + 1e-9
+    for i, j, n in x.runs(y).tolist():
+        assert a[i : i + n] == b[j : j + n] and n >= fingerprint.SPAN
+
+
+def test_scattered_edits(spark):
+    rng = random.Random(16)
+    text = prose(rng, 400)
+    near, cuts = list(text), [5, 400, 900, 1500, len(text) - 6]
+    for n, at in enumerate(reversed(cuts)):
+        near[at : at + 1] = ["#", "", "##", near[at] + "+", "é"][n]
+    near = "".join(near)
+    lines = "the same line again\n" * 60
+    rows = [(1, text, "en", "a"), (2, near, "en", "a"), (3, prose(rng, 400, "otra cosa que nada tiene con esto"), "es", "a"), (4, lines, "en", "a"), (5, lines[:7] + "#" + lines[8:-9] + "??" + lines[-9:], "en", "a")]
+    found = {r.doc_id: r for r in fingerprint.fingerprints(docs_table(spark, rows)).collect()}
+    assert found[1].near_next < 0.05 and found[1].aligned_next >= (len(text) - 12) / (len(text) + 3)
+    assert found[2].aligned_next < 0.1
+    assert found[4].near_next < 0.05 and found[4].aligned_next >= 0.95
