@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 The models are fitted on a bounded sample of labelled documents (SAMPLE_DOCS for each language and SAMPLE_TOTAL in all,
-each of at most SAMPLE_CHARS characters) and stored in sorted hash arrays: for each order, the n-grams that any language has seen, with
+of a longer one SPANS spans of SAMPLE_CHARS characters in all, spread from its start to its end) and stored in sorted hash arrays: for each order, the n-grams that any language has seen, with
 one column of interpolated log-probabilities a language; and their contexts with the weights for backing off. A text
 gets the language with the lowest cross-entropy per character over all of its characters. It is rejected when even that
 lies above what texts of its length reach, as calibrated on sample documents that the counts leave out.
@@ -21,7 +21,9 @@ from .common import text_batches
 
 ORDER = 4
 SAMPLE_DOCS = 800
+#: Characters that one document gives to the fit, and the spans that a longer one gives them in.
 SAMPLE_CHARS = 20000
+SPANS = 20
 #: Documents over all languages; with many languages each gets fewer, though 20 at least.
 SAMPLE_TOTAL = 6400
 #: Characters scored at a time, to bound memory.
@@ -228,20 +230,27 @@ def in_training(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def spread(text: F.Column, chars: int, spans: int = SPANS) -> F.Column:
+    """The text if it has at most so many characters, else equal spans of so many in all, evenly from its start to its end."""
+    each = max(1, chars // spans)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(spans - 1)), lambda k: (k * (F.length(text).cast("long") - each) / (spans - 1)).cast("int") + 1)
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(F.transform(starts, lambda at: F.substr(text, at, F.lit(each))), " "))
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Models:
     """Models from the labelled training rows of docs (doc_id, text, lang).
 
     A language's rows are thinned by a hash of their id to about 1.2 times its share of the sample, and cut to it in the
-    order of that hash; no task gathers a language.
+    order of that hash; no task gathers a language. A text longer than sample_chars gives spans of it.
     """
     spark = docs.sparkSession
-    rows = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= sample_chars)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("place"))
+    rows = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("place"))
     counts = rows.groupBy("lang").count().collect()  # a row a language
     share = min(sample_docs, max(20, SAMPLE_TOTAL // max(1, len(counts))))
     limits = spark.createDataFrame([(r["lang"], int(min(1.0, (1.2 * share + 30) / r["count"]) * (1 << 31))) for r in counts], "lang string, last long")
     chosen = rows.join(F.broadcast(limits), "lang").filter("place < last").limit(4 * max(SAMPLE_TOTAL, share * len(counts)))  # rows with one id share a hash
     labelled, taken = [], dict.fromkeys((r["lang"] for r in counts), 0)
-    for r in sorted(chosen.select("lang", "text", "place").collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
+    for r in sorted(chosen.select("lang", spread(F.col("text"), sample_chars).alias("text"), "place").collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
         if taken[r["lang"]] < share:
             labelled.append((r["lang"], r["text"]))
             taken[r["lang"]] += 1

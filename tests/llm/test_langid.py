@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import langid
 
@@ -127,3 +128,16 @@ def test_held_out_accuracy(spark):
     for r in found:
         by_lang[r.rejected] += 1
     assert by_lang[True] <= 0.005 * len(found)
+
+
+def test_long_texts_train(spark):
+    rng = random.Random(17)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, invented(rng, "de", 60) if n % 2 else invented(rng, "fr", 300), "de" if n % 2 else "fr", "a") for n, i in enumerate(ids)]
+    models = langid.train(docs_table(spark, rows), sample_chars=1000)
+    assert models.langs == ["de", "fr"] and models.predict([invented(rng, "fr", 80)])[0][0] == "fr"
+    text = "".join(chr(0x100 + i) for i in range(5000))
+    kept = docs_table(spark, [(1, text, "x", "a"), (2, text[:1000], "x", "a")]).select("doc_id", langid.spread(F.col("text"), 1000).alias("t")).collect()
+    kept = {r.doc_id: r.t for r in kept}
+    assert kept[2] == text[:1000] and len(kept[1].split(" ")) == langid.SPANS and kept[1][:50] == text[:50] and kept[1][-50:] == text[-50:]
+    assert len(kept[1].replace(" ", "")) == 1000
