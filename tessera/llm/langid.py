@@ -240,17 +240,19 @@ def spread(text: F.Column, chars: int, spans: int = SPANS) -> F.Column:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Models:
     """Models from the labelled training rows of docs (doc_id, text, lang).
 
-    A language's rows are thinned by a hash of their id to about 1.2 times its share of the sample, and cut to it in the
-    order of that hash; no task gathers a language. A text longer than sample_chars gives spans of it.
+    Repeated rows (lang, doc_id, text) count once. A language's rows are thinned by a hash of id and text to about 1.2 times
+    its share of the sample, and cut to it in the order of that hash; no task gathers a language. A text longer than sample_chars gives spans of it.
     """
     spark = docs.sparkSession
-    rows = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("place"))
-    counts = rows.groupBy("lang").count().collect()  # a row a language
+    rows = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("row"))
+    counts = rows.select("lang", "row").distinct().groupBy("lang").count().collect()  # a row a language
     share = min(sample_docs, max(20, SAMPLE_TOTAL // max(1, len(counts))))
     limits = spark.createDataFrame([(r["lang"], int(min(1.0, (1.2 * share + 30) / r["count"]) * (1 << 31))) for r in counts], "lang string, last long")
-    chosen = rows.join(F.broadcast(limits), "lang").filter("place < last").limit(4 * max(SAMPLE_TOTAL, share * len(counts)))  # rows with one id share a hash
+    place = F.pmod("row", F.lit(1 << 31))
+    thinned = rows.withColumn("place", place).join(F.broadcast(limits), "lang").filter("place < last")
+    chosen = thinned.select("lang", spread(F.col("text"), sample_chars).alias("text"), "place", "row").groupBy("lang", "row", "place").agg(F.min("text").alias("text"))
     labelled, taken = [], dict.fromkeys((r["lang"] for r in counts), 0)
-    for r in sorted(chosen.select("lang", spread(F.col("text"), sample_chars).alias("text"), "place").collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
+    for r in sorted(chosen.select("lang", "text", "place").collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
         if taken[r["lang"]] < share:
             labelled.append((r["lang"], r["text"]))
             taken[r["lang"]] += 1

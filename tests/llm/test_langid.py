@@ -141,3 +141,16 @@ def test_long_texts_train(spark):
     kept = {r.doc_id: r.t for r in kept}
     assert kept[2] == text[:1000] and len(kept[1].split(" ")) == langid.SPANS and kept[1][:50] == text[:50] and kept[1][-50:] == text[-50:]
     assert len(kept[1].replace(" ", "")) == 1000
+
+
+def test_repeated_rows(spark, monkeypatch):
+    """One row, repeated more often than the sample is large, leaves all languages their texts."""
+    rng = random.Random(18)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 60)
+    fitted = []
+    monkeypatch.setattr(langid, "fit", lambda labelled: fitted.extend(labelled))
+    rows = [(ids[0], "again and again", "en", "a")] * 3000 + [(i, invented(rng, lang, 9), lang, "a") for i, lang in zip(ids[1:], list(SYLLABLES) * 100, strict=False)]
+    langid.train(docs_table(spark, rows))
+    by = Counter(lang for lang, _ in fitted)
+    assert set(by) == set(SYLLABLES) and min(by.values()) >= 15 and max(Counter(fitted).values()) == 1
