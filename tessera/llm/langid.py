@@ -9,7 +9,7 @@ lies above what texts of its length reach, as calibrated on sample documents tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from .common import text_batches
 
 ORDER = 4
-SAMPLE_DOCS = 800
+SAMPLE_DOCS = 1500
 #: Characters that one document gives to the fit, and the spans that a longer one gives them in.
 SAMPLE_CHARS = 20000
 SPANS = 20
 #: Documents over all languages; with many languages each gets fewer, though 20 at least.
-SAMPLE_TOTAL = 6400
-#: Characters scored at a time, to bound memory.
+SAMPLE_TOTAL = 12000
+#: Characters scored or counted at a time, to bound memory.
 SCORE_CHARS = 500_000
 _BITS = 12
 _UNKNOWN = (1 << _BITS) - 1
@@ -154,7 +154,29 @@ class Models:
         return out
 
 
-def fit(labelled: list[tuple[str, str]], order: int = ORDER) -> Models:
+def _tally(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different values of all parts, ascending, and how often each occurs; about SCORE_CHARS values are held at a time."""
+    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        more, often = np.unique(np.concatenate(held), return_counts=True)
+        union = np.union1d(grams, more)
+        total = np.zeros(len(union), np.int64)
+        total[np.searchsorted(union, grams)] += counts
+        total[np.searchsorted(union, more)] += often
+        return union, total
+
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= SCORE_CHARS:
+            grams, counts = merged()
+            held, size = [], 0
+    return merged() if held else (grams, counts)
+
+
+def fit(labelled: Iterable[tuple[str, str]], order: int = ORDER) -> Models:
     """Models from (lang, text). Every fifth text of a language calibrates rejection and confidence; the others are counted."""
     own: dict[str, list[np.ndarray]] = {}
     for lang, text in labelled:
@@ -162,8 +184,8 @@ def fit(labelled: list[tuple[str, str]], order: int = ORDER) -> Models:
             own.setdefault(lang, []).append(chars)
     langs = sorted(own)
     counted = {lang: [t for i, t in enumerate(own[lang]) if i % 5 or len(own[lang]) < 5] for lang in langs}
-    points, often = np.unique(np.concatenate([t for ts in counted.values() for t in ts] or [np.zeros(1, np.uint32)]), return_counts=True)
-    kept = points[np.argsort(-often, kind="stable")][: _UNKNOWN - 1]
+    points, often = _tally(t.astype(np.uint64) for ts in counted.values() for t in ts)
+    kept = points[np.argsort(-often, kind="stable")][: _UNKNOWN - 1] if len(points) else np.zeros(1, np.uint64)
     alphabet = np.full(0x110000, _UNKNOWN, np.uint16)
     alphabet[kept] = np.arange(1, len(kept) + 1)
     alphabet[0] = 0
@@ -172,14 +194,15 @@ def fit(labelled: list[tuple[str, str]], order: int = ORDER) -> Models:
     seen: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by language and order: n-grams, counts
     for lang in langs:
         pad = np.zeros(order - 2, np.uint32)
-        parts = []
-        for t in counted[lang]:
-            ids = alphabet[np.concatenate([pad, t])].astype(np.uint64)
+
+        def windows(t: np.ndarray) -> np.ndarray:
+            ids = alphabet[np.concatenate([pad, t])].astype(np.uint64)  # noqa: B023
             full = np.zeros(len(ids) - order + 1, np.uint64)
             for k in range(order):
                 full = (full << bits) | ids[k : k + len(full)]
-            parts.append(full)
-        grams = [np.unique(np.concatenate(parts), return_counts=True)]
+            return full
+
+        grams = [_tally(map(windows, counted[lang]))]
         for k in range(order - 1, 0, -1):  # how many different characters stand before an n-gram
             grams.append(np.unique(grams[-1][0] & np.uint64((1 << (_BITS * k)) - 1), return_counts=True))
         seen.append(grams[::-1])
@@ -251,12 +274,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     place = F.pmod("row", F.lit(1 << 31))
     thinned = rows.withColumn("place", place).join(F.broadcast(limits), "lang").filter("place < last")
     chosen = thinned.select("lang", spread(F.col("text"), sample_chars).alias("text"), "place", "row").groupBy("lang", "row", "place").agg(F.min("text").alias("text"))
-    labelled, taken = [], dict.fromkeys((r["lang"] for r in counts), 0)
-    for r in sorted(chosen.select("lang", "text", "place").collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
-        if taken[r["lang"]] < share:
-            labelled.append((r["lang"], r["text"]))
+    left = sorted(chosen.select("lang", "text", "place").collect(), key=lambda r: (r["lang"], r["place"], r["text"]), reverse=True)
+
+    def labelled() -> Iterator[tuple[str, str]]:  # each text goes as soon as it is read
+        taken = dict.fromkeys((r["lang"] for r in counts), 0)
+        while left:
+            r = left.pop()
             taken[r["lang"]] += 1
-    return fit(labelled)
+            if taken[r["lang"]] <= share:
+                yield r["lang"], r["text"]
+
+    return fit(labelled())
 
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:

@@ -154,3 +154,18 @@ def test_repeated_rows(spark, monkeypatch):
     langid.train(docs_table(spark, rows))
     by = Counter(lang for lang, _ in fitted)
     assert set(by) == set(SYLLABLES) and min(by.values()) >= 15 and max(Counter(fitted).values()) == 1
+
+
+def test_sample_bounds():
+    assert (langid.SAMPLE_DOCS, langid.SAMPLE_TOTAL) == (1500, 12000)
+
+
+def test_counted_in_parts(monkeypatch):
+    rng = random.Random(19)
+    labelled = [(lang, invented(rng, lang, 40)) for lang in SYLLABLES for _ in range(12)]
+    whole = langid.fit(labelled)
+    monkeypatch.setattr(langid, "SCORE_CHARS", 150)
+    parts = langid.fit(iter(labelled))
+    assert (whole.alphabet == parts.alphabet).all() and whole.sharpness == parts.sharpness
+    for a, b in zip([*whole.grams, *whole.contexts], [*parts.grams, *parts.contexts], strict=True):
+        assert (a.hashes == b.hashes).all() and (a.values == b.values).all()
