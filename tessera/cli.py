@@ -67,8 +67,11 @@ def run_index(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Build the index and describe it: size in MB, seconds, number and average size of lists."""
     began = time.time()
     corpus = read_jsonl(spark, args.corpus, args.max_docs)
-    for row in corpus.rejects.orderBy("path", "line_no").limit(20).collect():
+    rejected = 0
+    for row in corpus.rejects.orderBy("path", "line_no").toLocalIterator():
         print(f"{row.path}:{row.line_no}: {row.reason}", file=sys.stderr)
+        rejected += 1
+    print(f"{rejected} lines rejected", file=sys.stderr)
     index_store.save(contents(corpus.documents), args.index)
     found = index_store.statistics(spark, args.index).first()
     return {"Index Size": found.index_size_mb, "Elapsed Time": round(time.time() - began, 2), "Number of Lists": found.number_of_lists, "Average List Size": found.average_list_size}

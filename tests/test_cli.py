@@ -30,3 +30,10 @@ def test_arguments():
 def test_speedup_table():
     table = scaling.summary([{"threads": 1, "Elapsed Time": 8.0}, {"threads": 4, "Elapsed Time": 4.0}])
     assert [(r["speedup"], r["efficiency"]) for r in table] == [(1.0, 1.0), (2.0, 0.5)]
+
+
+def test_all_rejects(spark, tmp_path, capsys):
+    (tmp_path / "c.jsonl").write_text('{"id": 1, "text": "good line"}\n' + "bad\n" * 35)
+    cli.run_index(spark, SimpleNamespace(corpus=str(tmp_path / "c.jsonl"), index=str(tmp_path / "ix"), max_docs=None))
+    lines = [x for x in capsys.readouterr().err.splitlines() if "reject" in x or "invalid JSON" in x]
+    assert len(lines) == 36 and lines[0].endswith(":2: invalid JSON") and lines[-2].endswith(":36: invalid JSON") and lines[-1] == "35 lines rejected"
