@@ -5,7 +5,9 @@ coordinates of a minwise signature, and a document goes to the child named by it
 together in a child with its similarity as the chance. A node of at most LEAF documents is compared exhaustively by
 signature. A larger one branches again, unless half of it is likely similar to its first document: such a group would
 not split, so it becomes candidate edges as a whole. With two branches at a level a pair at similarity 0.8 survives a tree of any
-depth with a chance of at least 15/16, and misses all eight trees with one of 1 in 4 * 10**9.
+depth with a chance of at least 15/16 over all coordinates. The trees share COORDINATES coordinates, though, and leaves drop
+pairs under LIKELY of them: with ideal minwise tokens a pair at 0.8 is missed with a chance of about 2 * 10**-6, of which
+3.2 * 10**-7 is that cut.
 
 Leaves give edges of a candidate graph, enough to connect what may be similar. Its components are then joined exactly:
 whole shingle sets meet once in each component, an inverted index gives true intersection sizes, and links are followed
