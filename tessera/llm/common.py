@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
@@ -42,6 +42,14 @@ def keep(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def watched(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """keep(), and measures of the rows as they are written (0 where there is none), without a job of their own."""
+    seen = Observation()
+    kept = keep(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), name)
+    found = seen.get
+    return kept, {n: found.get(n) or 0 for n in measures}
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by keep() that no later step reads."""
     spark = df.sparkSession

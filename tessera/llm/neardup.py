@@ -3,16 +3,17 @@
 Documents with equal shingle sets form a class. Each class descends TREES independent trees: a node chooses BRANCHES
 coordinates of a minwise signature, and a document goes to the child named by its token there, so a similar pair stays
 together in a child with its similarity as the chance. A node of at most LEAF documents is compared exhaustively by
-signature. A larger one branches again, unless half of it is likely similar to its first document: such a group would
-not split, so it becomes candidate edges as a whole. With two branches at a level a pair at similarity 0.8 survives a tree of any
-depth with a chance of at least 15/16 over all coordinates. The trees share COORDINATES coordinates, though, and leaves drop
-pairs under LIKELY of them: with ideal minwise tokens a pair at 0.8 is missed with a chance of about 2 * 10**-6, of which
-3.2 * 10**-7 is that cut.
+signature. A larger one branches again, two levels at a time, unless half of it is likely similar to its first document:
+such a group would not split, so it becomes candidate edges as a whole. With two branches at a level a pair at similarity
+0.8 survives a tree of any depth with a chance of at least 15/16 over all coordinates. The trees share COORDINATES
+coordinates, though, and leaves drop pairs under LIKELY of them: with ideal minwise tokens a pair at 0.8 is missed with a
+chance of about 2 * 10**-6, of which 3.2 * 10**-7 is that cut.
 
 Leaves give edges of a candidate graph, enough to connect what may be similar. Its components are then joined exactly:
 whole shingle sets meet once in each component, an inverted index gives true intersection sizes, and links are followed
-until nothing is left to reach. Components that are too large for one task are cut into blocks, and all pairs of blocks
-are joined. What reaches the driver is counts, and a bitmap of fixed size.
+until nothing is left to reach. In a component that is too large for one task each document is first compared with a
+pivot; those that it links to are one group, and only the others are joined, block by block, with all of the component.
+What reaches the driver is counts, and a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -24,20 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, keep, key_runs, spans_of, text_batches
+from .common import forget, keep, key_runs, spans_of, text_batches, watched
 
 SHINGLE = 5
 PERCENT = 80
 TREES = 8
 BRANCHES = 2
 LEAF = 2048
-DEPTH = 6
+#: Times that a node branches after its root, two levels each.
+DEPTH = 3
 COORDINATES = 64
 #: Share of equal signature coordinates from which a pair may be similar: over five deviations under 0.8.
 LIKELY = 0.53
 #: Documents and shingles of a candidate component that one task joins.
 BLOCK_DOCS, BLOCK_SHINGLES = 2000, 4_000_000
-SALTS = 64
+#: Bytes of a table that every task may hold; beyond it rows are dealt out to meet.
+HELD_BYTES = 8 << 20
+#: Edges that a task contracts at a time.
+CONTRACT_EDGES = 1_000_000
 _BITS = 1 << 26
 _PROFILE = "row long, doc_id long, text_hash long, n_shingles long, h1 long, h2 long, signature binary"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -128,14 +133,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _identities(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Two hashes that name a shingle set."""
+    h1 = np.array([int((s * _M2).sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64).view(np.int64)
+    h2 = np.array([int(mix(s ^ _M1).sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64).view(np.int64)
+    return pa.array(h1), pa.array(h2)
+
+
 def _profiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
-            h1 = np.array([int((s * _M2).sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64).view(np.int64)
-            h2 = np.array([int(mix(s ^ _M1).sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row", "doc_id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array([signature(s).tobytes() for s in sets], pa.binary())],
+                [*(batch.column(c) for c in ("row", "doc_id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), *_identities(sets), pa.array([signature(s).tobytes() for s in sets], pa.binary())],
                 ["row", "doc_id", "text_hash", "n_shingles", "h1", "h2", "signature"],
             )
 
@@ -146,29 +156,35 @@ def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _rows(rows: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(rows)], ["node", "row"])
+def _rows(rows: np.ndarray, nodes: np.ndarray, signatures: pa.Array | None) -> pa.RecordBatch:
+    columns = [pa.array(nodes.view(np.int64)), pa.array(rows)]
+    return pa.RecordBatch.from_arrays(columns, ["node", "row"]) if signatures is None else pa.RecordBatch.from_arrays([*columns, signatures], ["node", "row", "signature"])
+
 
+def _roots(trees: int, branches: int, signed: bool):
+    """The nodes of the first level that each row goes to, with its signature or without."""
 
-def _roots(trees: int, branches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, rows = _signatures(batch.column("signature")), batch.column("row").to_numpy()
             for n in range(trees * branches):
-                yield _rows(rows, mix(tokens[:, n % COORDINATES].astype(np.uint64) ^ mix(np.array([n + 1], np.uint64) << np.uint64(32))))
+                yield _rows(rows, mix(tokens[:, n % COORDINATES].astype(np.uint64) ^ mix(np.array([n + 1], np.uint64) << np.uint64(32))), batch.column("signature") if signed else None)
 
     return run
 
 
-def _children(branches: int):
+def _descendants(branches: int, signed: bool):
+    """The nodes two levels below that each row of a node goes to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, rows = _signatures(batch.column("signature")), batch.column("row").to_numpy()
-            nodes = batch.column("node").to_numpy().view(np.uint64)
-            for j in range(branches):
-                chosen = mix(nodes + _PLACES[j])
-                token = tokens[np.arange(len(rows)), (chosen % np.uint64(COORDINATES)).astype(np.int64)]
-                yield _rows(rows, mix(chosen ^ token.astype(np.uint64)))
+            nodes = [batch.column("node").to_numpy().view(np.uint64)]
+            for _ in range(2):
+                chosen = [mix(n + _PLACES[j]) for n in nodes for j in range(branches)]
+                nodes = [mix(c ^ tokens[np.arange(len(rows)), (c % np.uint64(COORDINATES)).astype(np.int64)].astype(np.uint64)) for c in chosen]
+            for n in nodes:
+                yield _rows(rows, n, batch.column("signature") if signed else None)
 
     return run
 
@@ -177,7 +193,8 @@ def _near_pivot(likely: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = (_signatures(batch.column("signature")) == _signatures(batch.column("pivot"))).mean(1) >= likely
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "row", "least")), pa.array(near.astype(np.int32))], ["node", "row", "least", "near"])
+            names = ["node", "row", "signature", "least"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(near.astype(np.int32))], [*names, "near"])
 
     return run
 
@@ -190,6 +207,9 @@ def _compare(likely: float):
     """Edges that connect the documents of each leaf as far as their signatures allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _contracted(compared(batches))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_runs(batches, "node"):
             rows, tokens = table["row"].to_numpy(), _signatures(table["signature"])
             spans = spans_of(table["node"].to_numpy())
@@ -213,34 +233,47 @@ def _compare(likely: float):
     return run
 
 
-def link_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the least index that links of at least percent similarity reach, by exact intersection sizes."""
+def links(sets: list[np.ndarray], percent: int, asked) -> Iterator[tuple[int, np.ndarray]]:
+    """For each index that asked yields, the indexes of all sets of at least percent similarity, by exact intersection sizes."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
-    label = np.full(n, -1)
     _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
-    by_id = owner[np.argsort(ids, kind="stable")]
+    by_id = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
     first, edges = np.cumsum(often) - often, np.concatenate([[0], np.cumsum(sizes)])
-    for root in range(n):
-        if label[root] >= 0:
-            continue
-        label[root], todo = root, [root]
-        while todo:
-            i = todo.pop()
-            own = ids[edges[i] : edges[i + 1]]
-            lengths = often[own]
-            at = np.repeat(first[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            shared = np.bincount(by_id[at], minlength=n)
-            new = np.flatnonzero((label < 0) & (100 * shared >= percent * (sizes + sizes[i] - shared)) & (shared > 0))
-            label[new] = root
-            todo.extend(new.tolist())
+    for i in asked:
+        own = ids[edges[i] : edges[i + 1]]
+        lengths = often[own]
+        at = np.repeat(first[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        shared = np.bincount(by_id[at], minlength=n)
+        yield i, np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (shared > 0))
+
+
+def link_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the least index that links reach."""
+    label, todo = np.full(len(sets), -1), []
+
+    def order() -> Iterator[int]:
+        for root in range(len(sets)):
+            if label[root] < 0:
+                label[root] = root
+                todo.append(root)
+            while todo:
+                yield todo.pop()
+
+    for i, linked in links(sets, percent, order()):
+        new = linked[label[linked] < 0]
+        label[new] = label[i]
+        todo.extend(new.tolist())
     return label
 
 
 def _verify(percent: int):
+    """From each cell (a whole component), an edge of every row to the least row that links reach."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_runs(batches, "cell"):
             rows = table["row"].to_numpy()
+            once = np.append(True, rows[1:] != rows[:-1])  # a class whose text is there again
+            table, rows = table.filter(pa.array(once)), rows[once]
             blobs = table["shingles"].to_pylist()
             left, right = [], []
             for a, b in spans_of(table["cell"].to_numpy()):
@@ -254,61 +287,143 @@ def _verify(percent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """row and component (its least row) of every row with an edge (a, b), by alternating large and small stars."""
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else both
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
-        if large:
-            out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
+def _reached(percent: int):
+    """Whether the pivot of its component links to each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, known = [], (None, None)
+            for own, pivot in zip(batch.column("shingles").to_pylist(), batch.column("pivot").to_pylist(), strict=True):
+                if known[0] != pivot:
+                    known = (pivot, np.frombuffer(pivot, np.uint64))
+                own = np.frombuffer(own, np.uint64)
+                shared = len(np.intersect1d(own, known[1], assume_unique=True))
+                near.append(100 * shared >= percent * (len(own) + len(known[1]) - shared))
+            names = ["row", "component", "blocks", "shingles"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(near, pa.bool_())], [*names, "near"])
+
+    return run
+
+
+def _verify_far(percent: int):
+    """From each cell, the edges of its far rows: to every row that the pivot doesn't link to, and to one of those it does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _contracted(compared(batches))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in key_runs(batches, "cell"):
+            rows, asks, near = (table[c].to_numpy(zero_copy_only=False) for c in ("row", "asks", "near"))
+            blobs = table["shingles"].to_pylist()
+            for a, b in spans_of(table["cell"].to_numpy()):
+                own, to, reached = rows[a:b], ~asks[a:b], near[a:b]
+                found = np.zeros(b - a, bool)
+                for i, linked in links([np.frombuffer(x, np.uint64) for x in blobs[a:b]], percent, np.flatnonzero(asks[a:b])):
+                    found[:] = False
+                    found[linked] = True
+                    found &= to & (own != own[i])
+                    one = np.flatnonzero(found & reached)[:1]
+                    every = np.concatenate([one, np.flatnonzero(found & ~reached)])
+                    if len(every):
+                        yield _edges(np.maximum(own[every], own[i]), np.minimum(own[every], own[i]))
+
+    return run
+
 
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, last = keep(edges, "edges"), None
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each vertex to the least one that the given edges reach; those that are least have none."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
     while True:
-        seen = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-        if seen == last or not seen[0]:
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while ((up := label[label]) != label).any():
+            label = up
+        if (label[x] == label[y]).all():
             break
-        last, before = seen, edges
-        edges = keep(star(star(edges, True), False), "edges")
+    more = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[more], ids[label[more]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, contracted so many at a time."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        return _edges(*contract(table["a"].to_numpy(), table["b"].to_numpy()))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= CONTRACT_EDGES:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """a and up, the least row that edges (a, b) reach, of every row but those that are least themselves.
+
+    A round joins each edge with the least neighbour of its smaller end (large star; the table of least neighbours is
+    written, so a hub's rows can be split), then tasks that hold all smaller neighbours of a row contract their edges
+    (small star), until every row has one neighbour that has none. A task leaves a row in one edge at most, so rows don't
+    gather many neighbours.
+    """
+    edges = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    while True:
+        least, seen = watched(edges.groupBy("a").agg(F.min("b").alias("up"), (F.max("b") > F.min("b")).alias("many")), "least", many=F.count_if("many"))
+        if not seen["many"] and edges.join(least.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            return least.select("a", "up")
+        raised = edges.join(least.select(F.col("a").alias("b"), "up"), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
+        before, edges = edges, keep(raised.repartition("a").sortWithinPartitions("a").mapInArrow(_contracted, "a long, b long"), "edges")
         forget(before)
-    return edges.select(F.col("a").alias("row"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("row"), F.col("b").alias("component")).distinct())
+        forget(least)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """row and component (its least row) of every row with an edge (a, b) to another."""
+    found = stars(edges)
+    return found.select(F.col("a").alias("row"), F.col("up").alias("component")).unionByName(found.select(F.col("up").alias("row"), F.col("up").alias("component")).distinct())
 
 
 def _candidate_edges(classes: DataFrame, trees: int, branches: int, leaf: int, depth: int) -> DataFrame:
     """Edges of the candidate graph over classes (row, signature)."""
-    level = classes.select("row", "signature").mapInArrow(_roots(trees, branches), "node long, row long")
-    found = None
+    source, step, leaves, found = classes.select("row", "signature"), lambda signed: _roots(trees, branches, signed), None, []
+    signed = classes.select("row", "signature")
+
+    def members(chosen: DataFrame, size: int) -> DataFrame:
+        """The rows of the chosen nodes with their signatures and what chosen says of a node."""
+        if size <= HELD_BYTES:
+            return source.mapInArrow(step(True), "node long, row long, signature binary").join(F.broadcast(chosen), "node")
+        return source.mapInArrow(step(False), "node long, row long").join(chosen, "node").join(signed, "row")
+
     for at in range(depth + 1):
-        level = keep(level, f"level-{at}")
-        counts = level.groupBy("node").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1")
-        counts = keep(counts, f"counts-{at}")  # a table of its own, so that the join can split a hot node
-        shared = keep(level.join(counts, "node"), f"shared-{at}")
-        forget(level)
-        ordered = shared.filter(F.col("n") <= leaf).select("node", "row").join(classes.select("row", "signature"), "row").repartition("node").sortWithinPartitions("node", "row")
-        edges = ordered.select("node", "row", "signature").mapInArrow(_compare(LIKELY), "a long, b long").distinct()
-        edges = keep(edges, f"edges-{at}")
-        found = edges if found is None else found.unionByName(edges)
-        large = shared.filter(F.col("n") > leaf)
-        if large.isEmpty():
-            return found
-        signed = classes.select("row", "signature")
-        pivots = large.select("least").distinct().join(signed.withColumnsRenamed({"row": "least", "signature": "pivot"}), "least")
-        salted = large.select("node", "row", "least", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))  # a hot node's rows share one pivot
-        pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        judged = salted.join(signed, "row").join(pivots, ["least", "salt"]).select("node", "row", "least", "signature", "pivot").mapInArrow(_near_pivot(LIKELY), "node long, row long, least long, near int")
-        judged = keep(judged, f"large-{at}")
-        tight = judged.groupBy("node").agg(F.avg("near").alias("share")).filter((F.col("share") >= 0.5) | F.lit(at == depth))
-        found = found.unionByName(keep(judged.join(tight, "node", "left_semi").select(F.col("row").alias("a"), F.col("least").alias("b")), f"tight-{at}"))
-        loose = judged.join(tight, "node", "left_anti")
-        if at == depth or loose.isEmpty():
-            return found
-        level = loose.select("node", "row").join(signed, "row").select("node", "row", "signature").mapInArrow(_children(branches), "node long, row long")
+        nodes = source.mapInArrow(step(False), "node long, row long")
+        counts, seen = watched(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1"), f"counts-{at}", nodes=F.count("*"), large=F.count_if(F.col("n") > leaf))
+        small = members(counts.filter(F.col("n") <= leaf).select("node"), 16 * (seen["nodes"] - seen["large"])).select("node", "row", "signature")
+        leaves = small if leaves is None else leaves.unionByName(small)
+        if not seen["large"]:
+            break
+        firsts = signed.withColumnsRenamed({"row": "least", "signature": "pivot"})
+        pivots = keep(counts.filter(F.col("n") > leaf).select("node", "least").join(firsts, "least"), f"pivots-{at}")
+        judged = members(pivots, 300 * seen["large"]).select("node", "row", "signature", "least", "pivot").mapInArrow(_near_pivot(LIKELY), "node long, row long, signature binary, least long, near int")
+        judged = keep(judged, f"judged-{at}")
+        shares, seen = watched(judged.groupBy("node").agg(F.avg("near").alias("share")), f"shares-{at}", loose=F.count_if(F.col("share") < 0.5))
+        tight = F.col("share") >= 0.5 if at < depth else F.lit(True)
+        found.append(judged.join(shares.filter(tight), "node", "left_semi").select(F.col("row").alias("a"), F.col("least").alias("b")))
+        if at == depth or not seen["loose"]:
+            break
+        source = judged.join(shares.filter(~tight), "node", "left_semi").select("node", "row", "signature")
+        step = lambda signed: _descendants(branches, signed)
+    edges = leaves.repartition("node").sortWithinPartitions("node", "row").mapInArrow(_compare(LIKELY), "a long, b long")
+    for more in found:
+        edges = edges.unionByName(more)
+    return edges
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -324,27 +439,42 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
-            h1 = np.array([int((s * _M2).sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64).view(np.int64)
-            h2 = np.array([int(mix(s ^ _M1).sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "shingles"])
+            yield pa.RecordBatch.from_arrays([*_identities(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "shingles"])
 
     return some.mapInArrow(run, "h1 long, h2 long, shingles binary")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) that connect the classes of each candidate component exactly as its true links do."""
+def _linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+    """a and up: each class of a candidate component (row, component) that true links join to an earlier one, with the earliest."""
     members = keep(clusters.join(classes.select("row", "h1", "h2", "doc_id", "n_shingles"), "row"), "members")
     size = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES, F.lit(1.0)))
-    cut = F.when(blocks > 1, 2 * blocks).otherwise(F.lit(1))
-    members = members.join(size.select("component", cut.cast("int").alias("blocks")), "component")
-    sets = _sets_of(docs, members.select("doc_id"), k)
-    own = members.select("row", "h1", "h2", "component", "blocks").join(sets, ["h1", "h2"])
-    own = own.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    ordered = cells.select(cell.alias("cell"), "row", "shingles").repartition("cell").sortWithinPartitions("cell", "row")
-    return ordered.mapInArrow(_verify(percent), "a long, b long")
+    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    large, seen = watched(size.select("component", blocks.alias("blocks")).filter("blocks > 1"), "large", n=F.count("*"))
+    # the same text may be there as several rows: each class takes one set
+    own = members.select("row", "h1", "h2", "component").join(_sets_of(docs, members.select("doc_id"), k), ["h1", "h2"]).drop("h1", "h2")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        ordered = rows.select(F.col("component").alias("cell"), "row", "shingles").repartition("cell").sortWithinPartitions("cell", "row")
+        return keep(ordered.mapInArrow(_verify(percent), "a long, b long").select("a", F.col("b").alias("up")), "links")
+
+    if not seen["n"]:
+        return whole(own)
+    own = keep(own.join(large, "component", "left"), "sets")
+    pivots = keep(own.filter("row = component AND blocks IS NOT NULL").select("component", F.col("shingles").alias("pivot")).dropDuplicates(["component"]), "pivot-sets")
+    asked = own.filter("blocks IS NOT NULL").join(pivots, "component").select("row", "component", "blocks", "shingles", "pivot")
+    judged = keep(asked.mapInArrow(_reached(percent), "row long, component long, blocks int, shingles binary, near boolean"), "judged")
+    far = judged.filter("NOT near").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum(F.octet_length("shingles")) / (8 * BLOCK_SHINGLES))).cast("int").alias("far"))
+    far, seen = watched(far, "far", n=F.count("*"))
+    edges = judged.filter("near AND row <> component").select(F.col("row").alias("a"), F.col("component").alias("b"))
+    if seen["n"]:
+        block = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(n)).cast("int")
+        placed = judged.join(far, "component").withColumn("f", block("far", 1)).withColumn("b", block("blocks", 2))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asking = placed.filter("NOT near").withColumn("b", each("blocks")).withColumn("asks", F.lit(True))
+        asked = placed.withColumn("f", each("far")).withColumn("asks", F.lit(False))
+        cells = asking.unionByName(asked).select(F.xxhash64("component", "f", "b").alias("cell"), "row", "asks", "near", "shingles")
+        edges = edges.unionByName(cells.repartition("cell").sortWithinPartitions("cell", "row").mapInArrow(_verify_far(percent), "a long, b long"))
+    return whole(own.filter("blocks IS NULL")).unionByName(stars(edges))
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, branches: int = BRANCHES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
@@ -362,11 +492,10 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, trees: int
     ordered = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     by_set = some.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min(ordered).alias("least"), F.min_by("doc_id", "row").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min_by("signature", "row").alias("signature"))
     classes = keep(by_set, "classes")
-    edges = keep(_confirmed(docs, classes, components(_candidate_edges(classes, trees, branches, leaf, depth)), k, percent), "links")
-    linked = keep(components(edges), "linked")
-    labelled = classes.select("row", "h1", "h2", "least").join(linked, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("of_all"))
-    of_class = labelled.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "of_all")
+    linked = _linked(docs, classes, components(_candidate_edges(classes, trees, branches, leaf, depth)), k, percent)
+    labelled = keep(classes.select("row", "h1", "h2", "least").join(linked.withColumnRenamed("a", "row"), "row", "left").withColumn("component", F.coalesce("up", "row")), "labelled")
+    least = keep(labelled.groupBy("component").agg(F.min("least").alias("of_all"), F.count("*").alias("n")).filter("n > 1"), "named")  # a table, so that the join can split a hot component
+    of_class = labelled.join(least, "component", "left").select("h1", "h2", F.coalesce("of_all", "least").alias("of_all"))
     named = some.join(of_class, ["h1", "h2"]).select("row", "doc_id", "text_hash", "n_shingles", F.col("of_all.doc_id").alias("component_id"), F.col("of_all.row").alias("keeper"))
     alone = profile.filter("n_shingles = 0").select("row", "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("keeper"))
     return named.unionByName(alone)
