@@ -14,7 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from .operators import search as se
-from .session import ship
+from .session import MemoryMonitor, progress, ship
 from .sources import index_store
 from .sources.corpus import contents, read_jsonl
 from .sources.query_file import read_queries
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("-m", "--memory", type=_number(1), help="driver memory in MB for a local run")
     index.add_argument("--max-docs", type=int)
     index.add_argument("--threads", type=_number(1), help="local threads; without it the session's master is used")
+    index.add_argument("--progress", type=_number(1), help="report running stages every so many seconds")
     search = commands.add_parser("search", help="answer one query a line")
     search.add_argument("-i", "--index", required=True)
     search.add_argument("-q", "--queries", required=True)
@@ -65,14 +66,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def run_index(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Build the index and describe it: size in MB, seconds, number and average size of lists."""
-    began = time.time()
+    began, monitor = time.time(), MemoryMonitor(getattr(args, "memory", None) or 1024, spark)
     corpus = read_jsonl(spark, args.corpus, args.max_docs)
     rejected = 0
     for row in corpus.rejects.orderBy("path", "line_no").toLocalIterator():
         print(f"{row.path}:{row.line_no}: {row.reason}", file=sys.stderr)
         rejected += 1
     print(f"{rejected} lines rejected", file=sys.stderr)
-    index_store.save(contents(corpus.documents), args.index)
+    if getattr(args, "progress", None):
+        with progress(spark, args.progress):
+            index_store.save(contents(corpus.documents), args.index)
+    else:
+        index_store.save(contents(corpus.documents), args.index)
+    print(f"memory: {monitor.used_mb():.0f} MB in use of a budget of {monitor.budget_mb:.0f}", file=sys.stderr)
     found = index_store.statistics(spark, args.index).first()
     return {"Index Size": found.index_size_mb, "Elapsed Time": round(time.time() - began, 2), "Number of Lists": found.number_of_lists, "Average List Size": found.average_list_size}
 

@@ -23,7 +23,8 @@ RESIDUALS = ("n't", "'s", "'re", "'ve", "'ll", "'d", "'m", "'t")
 _JOINED = ("can|not", "d|'ye", "gim|me", "gon|na", "got|ta", "lem|me", "more|'n", "wan|na")
 _ABBREVIATIONS = frozenset("mr mrs ms dr prof rev gen sen rep st jr sr inc ltd co corp vs etc e.g i.e a.m p.m u.s u.k no vol fig jan feb mar apr jun jul aug sep sept oct nov dec".split())
 _SENTENCE_END = re.compile(r"""(?<=[.?!])["'”’)\]]*\s+(?=["'“‘(\[]*[A-Z0-9])""")
-_LAST_WORD = re.compile(r"""([^\s"'“‘(\[]+)\.["'”’)\]]*$""")
+#: What stands before a word, what may follow its full stop, and how far back from there an abbreviation can begin.
+_OPENING, _CLOSING, _LONGEST = set(" \t\r\n\f\v\"'“‘(["), "\"'”’)] \t\r\n\f\v", 1 + max(map(len, _ABBREVIATIONS))
 _RULES = [
     (re.compile(r"[«“‘„»”’`]|``|''|\""), r" \g<0> "),
     (re.compile(r"(?i)(?<!\w)'(?!(?:re|ve|ll|m|t|s|d|n)\b)(?=\w\b)"), " ' "),
@@ -38,12 +39,26 @@ _ALNUM = re.compile(r"[a-z0-9]")
 _stems: dict[str, str] = {}
 
 
+def _last_word(text: str, start: int, end: int) -> str:
+    """The word before the full stop that ends text[start:end], if it is short enough for an abbreviation; empty otherwise."""
+    while end > start and text[end - 1] in _CLOSING:
+        end -= 1
+    if end == start or text[end - 1] != ".":
+        return ""
+    begin = end - 1
+    while begin > start and text[begin - 1] not in _OPENING and not text[begin - 1].isspace():
+        begin -= 1
+        if end - begin > _LONGEST:
+            return ""
+    return text[begin : end - 1].lower()
+
+
 def sentences(text: str) -> list[str]:
     """Cut after . ? ! before a capital or digit, but not after an abbreviation or a single initial."""
     out, start = [], 0
     for end in _SENTENCE_END.finditer(text):
-        last = _LAST_WORD.search(text[start : end.start()] + text[end.start() : end.end()].rstrip())
-        if last and (last[1].lower() in _ABBREVIATIONS or len(last[1]) == 1 and last[1].isalpha()):
+        last = _last_word(text, start, end.end())
+        if last in _ABBREVIATIONS or len(last) == 1 and last.isalpha():
             continue
         out.append(text[start : end.end()].strip())
         start = end.end()
@@ -54,6 +69,7 @@ def treebank_tokens(text: str | None) -> list[str]:
     """Lower-cased word tokens with at least one ASCII letter or digit, without what contractions leave."""
     out = []
     for sentence in sentences(text or ""):
+        sentence = " ".join(sentence.split())  # runs of white space would be searched once for each place in them
         for pattern, into in _RULES:
             sentence = pattern.sub(into, sentence)
         out += [t for w in sentence.split() if _ALNUM.search(t := w.lower()) and t not in RESIDUALS and not t.startswith("'")]

@@ -1,9 +1,17 @@
-"""How many postings a skipping document-at-a-time intersection would look at. A metric only; matching is a join."""
+"""How many postings a skipping document-at-a-time intersection would look at. A metric only; matching is a join.
+
+The count is defined on whole arrays. The documents that such an intersection aims at form a chain: it starts at the
+largest first id of a query's lists, and an id is followed by the largest of the next ids that the lists have (the id
+itself counts, unless all lists have it). A move from place a to place g of a list of n looks at a + 2**k - 1 for all
+k >= 1 that stay short of g, at the next of these places or the last one if that comes first, at the middles of halving
+the rest, and at g. A list's count is the number of different places, the first one included.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,61 +19,44 @@ from pyspark.sql import functions as F
 from .index import Index
 from .search import hits, lookup, parse_queries, query_terms, resolved
 
+_END = np.iinfo(np.int64).max
+
 
-class Cursor:
-    """A place in an ascending list that moves by doubling steps and then by halving; it remembers each place it looked at."""
-
-    def __init__(self, ids: list[int]):
-        self.ids, self.at = ids, 0
-        self.seen = {0} if ids else set()
-
-    @property
-    def done(self) -> bool:
-        return self.at >= len(self.ids)
-
-    def advance_to(self, target: int) -> None:
-        """To the first id >= target."""
-        if self.done or self.ids[self.at] >= target:
-            return
-        last, low, step = len(self.ids) - 1, self.at, 1
-        while low + step <= last and self.ids[low + step] < target:
-            low += step
-            self.seen.add(low)
-            step *= 2
-        high = min(low + step, last)
-        self.seen.add(high)
-        if self.ids[high] < target:
-            self.at = len(self.ids)
-            return
-        low += 1
-        while low < high:
-            middle = (low + high) // 2
-            self.seen.add(middle)
-            low, high = (middle + 1, high) if self.ids[middle] < target else (low, middle)
-        self.at = low
-        self.seen.add(low)
-
-    def advance(self) -> None:
-        self.at += 1
-        if not self.done:
-            self.seen.add(self.at)
+def probes(start: int, goal: int, n: int) -> Iterator[int]:
+    """The places that a move from start to goal looks at in a list of n; goal n is beyond its end."""
+    if goal <= start:
+        return
+    doublings = (goal - start).bit_length() - 1
+    yield from (start + (1 << k) - 1 for k in range(1, doublings + 1))
+    rest = range(start + (1 << doublings), min(start + (2 << doublings), n))
+    yield rest.stop - 1 if len(rest) else n - 1
+    if goal < n:
+        while len(rest) > 1:
+            half = (len(rest) - 1) // 2
+            yield rest[half]
+            rest = rest[half + 1 :] if rest[half] < goal else rest[: half + 1]
+        yield goal
 
 
 def scanned(lists: list[list[int]]) -> tuple[list[int], int]:
-    """Common ids of the lists, rarest first, and the number of places looked at."""
-    cursors = [Cursor(ids) for ids in sorted(lists, key=len)]
-    common = []
-    while cursors and not any(c.done for c in cursors):
-        target = max(c.ids[c.at] for c in cursors)
-        for c in cursors:
-            c.advance_to(target)
-        if any(c.done for c in cursors):
-            break
-        if all(c.ids[c.at] == target for c in cursors):
-            common.append(target)
-            for c in cursors:
-                c.advance()
-    return common, sum(len(c.seen) for c in cursors)
+    """Common ids of ascending lists, and the number of places looked at in all of them."""
+    arrays = [np.array(ids, np.int64) for ids in lists]
+    if not all(map(len, arrays)) or not arrays:
+        return [], sum(min(1, len(a)) for a in arrays)
+    every = np.unique(np.concatenate(arrays))
+    here, beyond = (np.max([np.append(a, _END)[np.searchsorted(a, every, side)] for a in arrays], axis=0) for side in ("left", "right"))
+    follows, chain = np.where(here == every, beyond, here), [max(a[0] for a in arrays)]
+    while (after := follows[np.searchsorted(every, chain[-1])]) != _END:
+        chain.append(after)
+    aims = np.array(chain)
+    common = here[np.searchsorted(every, aims)] == aims
+    total = 0
+    for a in arrays:
+        goals = np.searchsorted(a, aims)
+        starts = np.append(0, (goals + common)[:-1])
+        moves = (p for s, g in zip(starts.tolist(), goals.tolist(), strict=True) for p in probes(s, g, len(a)))
+        total += len({0, *moves, *(p for p in (goals + 1)[common].tolist() if p < len(a))})
+    return aims[common].tolist(), total
 
 
 def skip_ratio(seen, total):
@@ -86,3 +77,12 @@ def galloping_metrics(index: Index, queries: DataFrame) -> DataFrame:
     early = found.groupBy("qid").agg(F.max(F.col("df").isNull()).alias("early_terminated"))
     total, seen = F.coalesce("in_lists", F.lit(0).cast("long")), F.coalesce("scanned", F.lit(0).cast("long"))
     return early.join(counted, "qid", "left").select("qid", total.alias("postings_in_lists"), seen.alias("postings_scanned"), "early_terminated", skip_ratio(seen, total).alias("skip_ratio"))
+
+
+def run_averages(metrics: DataFrame) -> DataFrame:
+    """One row over the queries of a batch: how many, how many ended early, and mean, least and largest skip ratio (0 without queries)."""
+    of = lambda f: F.coalesce(f("skip_ratio"), F.lit(0.0))
+    return metrics.agg(
+        F.count("*").alias("num_queries"), F.count_if("early_terminated").alias("num_early"), F.round(of(F.avg), 6).alias("mean_skip_ratio"),
+        F.round(of(F.min), 6).alias("min_skip_ratio"), F.round(of(F.max), 6).alias("max_skip_ratio"),
+    )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.analyzer import Analyzer
 
 BUCKETS = 64
+#: Documents that one chunk of a posting list covers.
+CHUNK_DOCS = 1 << 20
 
 
 @dataclass
@@ -22,10 +24,14 @@ class Index:
     stats: DataFrame
     analyzer: Analyzer = field(default_factory=Analyzer)
     buckets: int = 0  # of term_bucket, if postings have it
+    summary: tuple[int, float] | None = None  # num_docs, avgdl, where they are known
 
     def stats_row(self) -> tuple[int, float]:
-        row = self.stats.first()
-        return row["num_docs"], row["avgdl"]
+        """num_docs and avgdl; a saved index knows them, for another one a job finds them once."""
+        if self.summary is None:
+            row = self.stats.first()
+            self.summary = row["num_docs"], row["avgdl"]
+        return self.summary
 
 
 def analyzed(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -60,9 +66,18 @@ def merge_partials(*partials: DataFrame) -> DataFrame:
     return first.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
 
 
-def posting_lists(postings: DataFrame) -> DataFrame:
-    """term, df and its postings by doc_id, for consumers that want lists; a list is as long as its df."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+def posting_lists(postings: DataFrame, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+    """term, chunk, n and the n postings by doc_id, for consumers that want lists. A chunk covers chunk_docs document ids, so no row grows with df."""
+    chunk = F.floor(F.col("doc_id") / F.lit(chunk_docs)).cast("long")
+    return postings.groupBy("term", chunk.alias("chunk")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+
+
+def counters(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row about a (partial) index: num_docs, num_terms, num_postings, is_empty. Terms are counted from their lists, so a hot term is one row."""
+    lists = postings.groupBy("term").agg(F.count("*").alias("n"))
+    terms = lists.agg(F.count("*").alias("num_terms"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("num_postings"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(docs.agg(F.count("*").alias("num_docs"))).join(one(terms), "one").select("num_docs", "num_terms", "num_postings", (F.col("num_postings") == 0).alias("is_empty"))
 
 
 def index_statistics(lexicon_table: DataFrame) -> DataFrame:
@@ -72,7 +87,7 @@ def index_statistics(lexicon_table: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame, analyzer: Analyzer | None = None, persist: bool = False) -> Index:
     """An index of docs (doc_id, original_id, content). Nothing runs yet; persist keeps the analyzed terms for the tables
-    that are derived from them. For many queries, or a large corpus, save the index instead."""
+    that are derived from them. For more than one query, or a large corpus, save the index instead."""
     analyzer = analyzer or Analyzer()
     terms = analyzed(docs, analyzer)
     if persist:

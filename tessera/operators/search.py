@@ -44,9 +44,26 @@ def hits(live: DataFrame, index: Index) -> DataFrame:
 
 
 def match(found: DataFrame, index: Index) -> DataFrame:
-    """qid, doc_id and the term postings (df, pos, tf) of documents that have all terms of a query (relational division)."""
-    grouped = hits(resolved(found), index).groupBy("qid", "doc_id").agg(F.count("*").alias("m"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_list(F.struct("df", "pos", "term", "tf"))).alias("postings"))
-    return grouped.filter("m = n_terms").select("qid", "doc_id", "postings")
+    """qid, doc_id and the term postings (df, pos, tf) of documents that have all terms of a query (relational division).
+
+    The list of a query's rarest term is read first; its documents, with the query's other terms, are then looked up
+    in the postings by term and document, so the work follows the rare list. What the lookup sends is small enough to go
+    to every task, or both sides meet by term and document, which no hot term can pile up.
+    """
+    live = resolved(found)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("df", "pos"))
+    ranked = live.withColumn("nth", place)
+    first = hits(ranked.filter("nth = 1").drop("nth"), index)
+    rest = ranked.filter("nth > 1").select("qid", "pos", "term", "n_terms", "df")
+    asked = first.filter("n_terms > 1").select("qid", "doc_id").join(rest, "qid")
+    keys = ["term", "doc_id"]
+    if index.buckets:
+        asked, keys = asked.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets)), ["term_bucket", *keys]
+    more = asked.join(index.postings, keys).select(*first.columns)
+    one = F.struct("df", "pos", "term", "tf")
+    alone = first.filter("n_terms = 1").select("qid", "doc_id", F.array(one).alias("postings"))
+    grouped = first.filter("n_terms > 1").unionByName(more).groupBy("qid", "doc_id").agg(F.count("*").alias("m"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_list(one)).alias("postings"))
+    return alone.unionByName(grouped.filter("m = n_terms").select("qid", "doc_id", "postings"))
 
 
 def metrics(parsed: DataFrame, found: DataFrame) -> DataFrame:

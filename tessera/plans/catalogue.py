@@ -1,6 +1,7 @@
 """Named queries over the driver's tables and the SQL that each must agree with.
 
 Queries with SQL use the analyzer that SQL can express: runs of letters and digits, stop words, lengths, no stems.
+Searches go the way that a user's do: an index is saved and opened again. JSONL queries write the documents as lines first.
 Scores are ranked after rounding to nine places there, so that the last bit of a sum cannot change an order.
 """
 
@@ -13,9 +14,10 @@ from ..functions.analyzer import SIMPLE, Analyzer
 from ..functions.scoring import get_scorer
 from ..operators import index as ix
 from ..operators import search as se
-from ..operators.galloping import galloping_metrics
-from ..sources.corpus import first_docs, from_table, full_content
-from ..sources.index_store import get_df
+from ..operators import galloping as ga
+from ..session import scratch, spread
+from ..sources.corpus import Corpus, contents, first_docs, from_table, full_content, read_jsonl
+from ..sources.index_store import get_df, read_postings, save
 from ..sources.query_file import query_table
 
 #: Rare, common, stop-word, missing, empty after analysis and repeated terms.
@@ -23,7 +25,7 @@ BATCH = ["erth onth thon", "thre ther", "erre", "ment elle", "ung keit", "with f
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return from_table(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,18 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str, analyzer: Analyzer = SIMPLE) -> ix.Index:
-    return ix.build(_docs(spark, sf_dir), analyzer, persist=analyzer.kind == "treebank")
+    return save(_docs(spark, sf_dir), scratch(spark, "index"), analyzer, buckets=16)
+
+
+def _jsonl(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The documents written as JSON lines in the order of doc_id, with a line to reject or a blank one after some, and read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    record = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("lang").alias("title"), "text", F.array("source").alias("keywords")))
+    after = F.element_at(F.array(*map(F.lit, ("not json", "[1]", '{"title": "no id"}', ""))), (F.col("doc_id") % 50 + 1).cast("int"))
+    lines = F.when(F.col("doc_id") % 50 < 4, F.array(record, after)).otherwise(F.array(record))
+    path = scratch(spark, "lines")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.explode(lines).alias("value")).write.text(path)
+    return read_jsonl(spark, path)
 
 
 def _parsed(spark: SparkSession) -> DataFrame:
@@ -83,7 +96,25 @@ def index_statistics(spark, sf_dir):
 
 def posting_lists(spark, sf_dir):
     shown = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"], p["tf"])), ",")
-    return ix.posting_lists(postings(spark, sf_dir)).select("term", "df", shown.alias("postings"))
+    return ix.posting_lists(postings(spark, sf_dir), chunk_docs=500).select("term", "chunk", "n", shown.alias("postings"))
+
+
+def counters(spark, sf_dir):
+    return ix.counters(postings(spark, sf_dir), _docs(spark, sf_dir))
+
+
+def jsonl_corpus(spark, sf_dir):
+    return contents(_jsonl(spark, sf_dir).documents)
+
+
+def jsonl_rejects(spark, sf_dir):
+    return _jsonl(spark, sf_dir).rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def saved_statistics(spark, sf_dir):
+    """Of an index over JSON lines."""
+    index = save(contents(_jsonl(spark, sf_dir).documents), scratch(spark, "index"), SIMPLE, buckets=16)
+    return ix.index_statistics(index.lexicon).select("number_of_lists", "average_list_size", F.lit(index.stats_row()[0]).cast("long").alias("num_docs"), F.lit(round(index.stats_row()[1], 6)).alias("avgdl"))
 
 
 def partial_merge(spark, sf_dir):
@@ -96,7 +127,7 @@ def max_docs(spark, sf_dir):
 
 
 def posting_lookup(spark, sf_dir):
-    return postings(spark, sf_dir).filter(F.col("term").isin("thre", "ther", "zzznope"))
+    return read_postings(_index(spark, sf_dir), ["thre", "ther", "zzznope"])
 
 
 def query_terms(spark, sf_dir):
@@ -151,8 +182,12 @@ def stemmed_search(spark, sf_dir):
     return se.as_json(se.results(query_table(spark, BATCH), se.search(_index(spark, sf_dir, Analyzer()), query_table(spark, BATCH))))
 
 
-def galloping(spark, sf_dir):
-    return galloping_metrics(_index(spark, sf_dir), query_table(spark, BATCH))
+def galloping_metrics(spark, sf_dir):
+    return ga.galloping_metrics(_index(spark, sf_dir), query_table(spark, BATCH))
+
+
+def run_averages(spark, sf_dir):
+    return ga.run_averages(galloping_metrics(spark, sf_dir))
 
 
 QUERIES = {
@@ -160,8 +195,9 @@ QUERIES = {
     for f in (
         corpus_scan, tokenize, normalize_filters, postings, lexicon, doc_index, corpus_stats, index_statistics, posting_lists, partial_merge, max_docs, posting_lookup, query_terms,
         term_lookup, missing_term, conjunctive_match, match_metrics, tfidf_scores, bm25_scores, tfidf_top10, bm25_top10, search_json, stemmed_search,
+        counters, jsonl_corpus, jsonl_rejects, saved_statistics, galloping_metrics, run_averages,
     )
-} | {"galloping_metrics": galloping}
+}
 
 
 def _quoted(values) -> str:
@@ -207,6 +243,46 @@ WITH tokens AS (
   SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INTEGER AS rank FROM bm25
 )
 """
+_JSONL = """
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, doc_id::VARCHAR AS original_id,
+         concat_ws(' ', nullif(lang, ''), nullif(text, ''), coalesce(source, 'None')) AS content FROM documents
+)
+"""
+_JSONL_INDEX = _JSONL + _CTE.replace("\nWITH tokens", ", tokens").replace("text, ''", "content, ''").replace("FROM documents", "FROM docs")
+#: The places that a skipping intersection looks at, after the definition in operators/galloping.py.
+_SCANNED = f"""{_CTE.replace("WITH", "WITH RECURSIVE", 1)}, early AS (
+  SELECT qid, bool_or(df IS NULL) AS early_terminated FROM qterms LEFT JOIN lexicon USING (term) GROUP BY qid
+), lists AS (
+  SELECT qid, pos, doc_id AS id, row_number() OVER (PARTITION BY qid, pos ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY qid, pos) AS n
+  FROM qterms JOIN early USING (qid) JOIN postings USING (term) WHERE NOT early_terminated
+), next_of AS (
+  SELECT qid, u, pos, coalesce(min(id) FILTER (WHERE id >= u), {2**62}) AS here, coalesce(min(id) FILTER (WHERE id > u), {2**62}) AS beyond
+  FROM (SELECT DISTINCT qid, id AS u FROM lists) JOIN lists USING (qid) GROUP BY qid, u, pos
+), follows AS (
+  SELECT qid, u, max(here) = u AS common, CASE WHEN max(here) = u THEN max(beyond) ELSE max(here) END AS after FROM next_of GROUP BY qid, u
+), chain AS (
+  SELECT qid, max(id) AS aim, 0 AS i FROM lists WHERE place = 0 GROUP BY qid
+  UNION ALL SELECT chain.qid, after, i + 1 FROM chain JOIN follows ON follows.qid = chain.qid AND u = aim WHERE after < {2**62}
+), goals AS (
+  SELECT qid, pos, i, any_value(n) AS n, any_value(common) AS common, count(*) FILTER (WHERE id < aim) AS goal
+  FROM chain JOIN lists USING (qid) JOIN follows USING (qid) WHERE u = aim GROUP BY qid, pos, i
+), moves AS (
+  SELECT *, coalesce(lag(goal + common::BIGINT) OVER (PARTITION BY qid, pos ORDER BY i), 0) AS start FROM goals
+), steps AS (
+  SELECT *, length(bin(goal - start)) - 1 AS k, least(start + (2::BIGINT << (length(bin(goal - start)) - 1)) - 1, n - 1) AS top FROM moves WHERE goal > start
+), halving AS (
+  SELECT qid, pos, goal, start + (1::BIGINT << k) AS low, top AS high FROM steps WHERE goal < n
+  UNION ALL SELECT qid, pos, goal, CASE WHEN (low + high) // 2 < goal THEN (low + high) // 2 + 1 ELSE low END, CASE WHEN (low + high) // 2 < goal THEN high ELSE (low + high) // 2 END FROM halving WHERE low < high
+), seen AS (
+  SELECT qid, pos, 0 AS place FROM lists UNION SELECT qid, pos, start + (1::BIGINT << unnest(range(1, k + 1))) - 1 FROM steps UNION SELECT qid, pos, top FROM steps
+  UNION SELECT qid, pos, (low + high) // 2 FROM halving WHERE low < high UNION SELECT qid, pos, goal FROM steps WHERE goal < n UNION SELECT qid, pos, goal + 1 FROM goals WHERE common AND goal + 1 < n
+), metrics AS (
+  SELECT qid, coalesce(total, 0)::BIGINT AS postings_in_lists, coalesce(places, 0)::BIGINT AS postings_scanned, early_terminated,
+         CASE WHEN coalesce(total, 0) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - places::DOUBLE / total::DOUBLE END AS skip_ratio
+  FROM early LEFT JOIN (SELECT qid, count(*) AS places FROM seen GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS total FROM lists GROUP BY qid) USING (qid)
+)
+"""
 _TOP10 = "SELECT qid, rank, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {}) WHERE rank <= 10"
 
 ORACLE_SQL = {
@@ -218,7 +294,14 @@ ORACLE_SQL = {
     "doc_index": _CTE + "SELECT doc_id, original_id, length FROM doc_index",
     "corpus_stats": _CTE + "SELECT num_docs, round(avgdl, 6) AS avgdl FROM stats",
     "index_statistics": _CTE + "SELECT count(*)::BIGINT AS number_of_lists, coalesce(round(sum(df)::DOUBLE / count(*), 2), 0.0::DOUBLE) AS average_list_size FROM lexicon",
-    "posting_lists": _CTE + "SELECT term, count(*)::BIGINT AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM postings GROUP BY term",
+    "posting_lists": _CTE + "SELECT term, (doc_id // 500)::BIGINT AS chunk, count(*)::BIGINT AS n, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM postings GROUP BY term, chunk",
+    "counters": _CTE + "SELECT (SELECT count(*) FROM documents)::BIGINT AS num_docs, count(DISTINCT term)::BIGINT AS num_terms, count(*)::BIGINT AS num_postings, count(*) = 0 AS is_empty FROM postings",
+    "jsonl_corpus": _JSONL + "SELECT doc_id::BIGINT AS doc_id, original_id, content FROM docs",
+    "jsonl_rejects": "SELECT CASE doc_id % 50 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'not an object' ELSE 'no id' END AS reason, count(*)::BIGINT AS n FROM documents WHERE doc_id % 50 < 3 GROUP BY reason",
+    "saved_statistics": _JSONL_INDEX + "SELECT count(*)::BIGINT AS number_of_lists, coalesce(round(sum(df)::DOUBLE / count(*), 2), 0.0::DOUBLE) AS average_list_size, any_value(num_docs) AS num_docs, any_value(round(avgdl, 6)) AS avgdl FROM lexicon CROSS JOIN stats",
+    "galloping_metrics": _SCANNED + "SELECT * FROM metrics",
+    "run_averages": _SCANNED + """SELECT count(*)::BIGINT AS num_queries, (count(*) FILTER (WHERE early_terminated))::BIGINT AS num_early, coalesce(round(avg(skip_ratio), 6), 0.0::DOUBLE) AS mean_skip_ratio,
+        coalesce(round(min(skip_ratio), 6), 0.0::DOUBLE) AS min_skip_ratio, coalesce(round(max(skip_ratio), 6), 0.0::DOUBLE) AS max_skip_ratio FROM metrics""",
     "partial_merge": _CTE + "SELECT term, doc_id, tf FROM postings",
     "max_docs": "SELECT doc_id, doc_id::VARCHAR AS original_id FROM documents WHERE doc_id < 100",
     "posting_lookup": _CTE + "SELECT term, doc_id, tf FROM postings WHERE term IN ('thre', 'ther', 'zzznope')",

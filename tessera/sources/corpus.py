@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 _PARSED = "path string, block long, line long, nth long, id string, title string, text string, keywords array<string>, reason string"
 _ARROW = pa.schema([("path", pa.string()), ("block", pa.int64()), ("line", pa.int64()), ("nth", pa.int64()), ("id", pa.string()), ("title", pa.string()), ("text", pa.string()), ("keywords", pa.list_(pa.string())), ("reason", pa.string())])
 
@@ -22,7 +24,7 @@ class Corpus:
     rejects: DataFrame
 
     def counts(self) -> tuple[int, int]:
-        """Documents read and lines skipped; blank lines are neither."""
+        """Documents read and lines skipped; blank lines are neither. Both come from the parsed table, no line is parsed again."""
         return self.documents.count(), self.rejects.count()
 
 
@@ -67,11 +69,12 @@ def _parse_native(lines: DataFrame) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, max_docs: int | None = None, native: bool = False) -> Corpus:
     """Read JSONL. Ids are dense over accepted lines in file order: each split numbers its own, and the counts of the
     splits before it are added. max_docs keeps the first so many documents; None and 0 keep all, a negative number none.
+    Every line is parsed once: the parsed rows are written in the shared folder, and all that follows reads columns of that table.
 
     native parses inside the plan: trailing text after an object is accepted and false values become text.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
-    parsed = _parse_native(lines) if native else lines.select("path", "block", "value").mapInArrow(_parse, _PARSED)
+    parsed = keep(_parse_native(lines) if native else lines.select("path", "block", "value").mapInArrow(_parse, _PARSED), "parsed-lines")
     ordered = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     accepted = parsed.filter(F.col("reason").isNull())

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import Analyzer
-from ..operators.index import BUCKETS, Index, corpus_stats, doc_index, index_statistics, lexicon, term_postings, analyzed
+from ..operators.index import BUCKETS, Index, analyzed, corpus_stats, doc_index, index_statistics, lexicon, term_postings
+from ..session import spread
 
 TABLES = ("postings", "lexicon", "doc_index", "stats", "settings")
 
@@ -23,33 +24,53 @@ def term_bucket(term: Column, buckets: int) -> Column:
 def save(docs: DataFrame, path: str, analyzer: Analyzer | None = None, buckets: int = BUCKETS) -> Index:
     """Index docs (doc_id, original_id, content) at path, replacing what is there. Every text is analyzed once."""
     spark, analyzer = docs.sparkSession, analyzer or Analyzer()
-    analyzed(docs, analyzer).write.mode("overwrite").parquet(f"{path}/terms")
+    analyzed(spread(docs), analyzer).write.mode("overwrite").parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
     postings = term_postings(terms).withColumn("term_bucket", term_bucket(F.col("term"), buckets))
     postings.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "doc_id").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
     lexicon(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
     doc_index(terms).write.mode("overwrite").parquet(f"{path}/doc_index")
     corpus_stats(spark.read.parquet(f"{path}/doc_index")).write.mode("overwrite").parquet(f"{path}/stats")
-    spark.createDataFrame([(analyzer.to_json(), buckets)], "analyzer string, buckets int").write.mode("overwrite").parquet(f"{path}/settings")
+    row = spark.read.parquet(f"{path}/stats").first()
+    settings = [(analyzer.to_json(), buckets, row["num_docs"], row["avgdl"])]
+    spark.createDataFrame(settings, "analyzer string, buckets int, num_docs long, avgdl double").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
     _delete(spark, f"{path}/terms")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    settings = spark.read.parquet(f"{path}/settings").first()
+    """Open a saved index: one row of settings is read, tables when queries need them."""
+    settings = spark.read.schema("analyzer string, buckets int, num_docs long, avgdl double").parquet(f"{path}/settings").first()
     tables = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES[:4]}
-    return Index(**tables, analyzer=Analyzer.from_json(settings["analyzer"]), buckets=settings["buckets"])
+    return Index(**tables, analyzer=Analyzer.from_json(settings["analyzer"]), buckets=settings["buckets"], summary=(settings["num_docs"], settings["avgdl"]))
+
+
+def close(index: Index) -> None:
+    """Drop what the session caches of an index's tables. Files stay; an Index that was closed can still be read."""
+    for table in (index.postings, index.lexicon, index.doc_index, index.stats):
+        table.unpersist()
+
+
+def _of_terms(table: DataFrame, terms: list[str]) -> DataFrame:
+    return table.filter(F.col("term").isin(*terms))
 
 
 def read_postings(index: Index, terms: list[str]) -> DataFrame:
-    """Postings of some terms by ascending doc_id; partitions without them are not read. Raises in the plan if a list's
-    length is not its df; an absent term has no rows."""
-    found = index.postings.filter(F.col("term").isin(*terms))
+    """Postings of some terms by ascending doc_id; partitions without them are not read. An absent term has no rows.
+
+    The plan fails if the length of a list is not the df that the lexicon has for its term.
+    """
+    found = _of_terms(index.postings, terms)
     if index.buckets:
         spark = index.postings.sparkSession
         wanted = [r["b"] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(term_bucket(F.col("t"), index.buckets).alias("b")).distinct().collect()]
         found = found.filter(F.col("term_bucket").isin(*wanted))
-    return found.select("term", "doc_id", "tf").orderBy("term", "doc_id")
+    lists = found.groupBy("term").agg(F.count("*").alias("found"))
+    wrong = F.raise_error(F.concat(F.lit("the posting list of "), "term", F.lit(" has "), F.coalesce("found", F.lit(0)).cast("string"), F.lit(" postings, the lexicon says "), F.col("df").cast("string")))
+    both = _of_terms(index.lexicon, terms).join(lists, "term", "left").join(found.select("term", "doc_id", "tf"), "term", "left")
+    # one condition, so that the second join stays an outer one and a list that is gone altogether meets the check
+    checked = both.filter(F.when(F.col("df") != F.coalesce("found", F.lit(0)), wrong.cast("boolean")).otherwise(F.col("doc_id").isNotNull()))
+    return checked.select("term", "doc_id", "tf").orderBy("term", "doc_id")
 
 
 def check_integrity(index: Index) -> DataFrame:

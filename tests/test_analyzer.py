@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -63,3 +65,10 @@ def test_plan_agrees_with_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for own in (Analyzer(), SIMPLE, Analyzer("simple")):
         assert [r.x for r in df.select("i", own.terms(F.col("t")).alias("x")).orderBy("i").collect()] == [own.analyze(t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + "? B", "'" * 100_000 + "? B", "." + " " * 1_000_000 + " b", "! " * 100_000 + "b", ". A" * 100_000])
+def test_long_runs_take_linear_time(text):
+    began = time.time()
+    treebank_tokens(text)
+    assert time.time() - began < 5

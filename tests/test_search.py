@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -12,7 +13,8 @@ from tessera.functions.analyzer import SIMPLE, Analyzer
 from tessera.functions.scoring import get_scorer
 from tessera.operators import index as ix
 from tessera.operators import search as se
-from tessera.operators.galloping import Cursor, galloping_metrics, scanned
+from tessera.operators.galloping import galloping_metrics, probes, run_averages, scanned
+from tessera.plans import catalogue
 from tessera.sources import index_store
 from tessera.sources.query_file import query_table
 
@@ -59,15 +61,16 @@ def test_metrics(spark, five):
     assert found[0].postings_scanned == 2 and found[2].skip_ratio == 0.0 and found[2].early_terminated
 
 
-def test_cursor():
-    cursor = Cursor(list(range(0, 2000, 2)))
-    cursor.advance_to(1000)
-    assert cursor.ids[cursor.at] == 1000 and len(cursor.seen) < 50
-    cursor.advance_to(1001)
-    assert cursor.ids[cursor.at] == 1002
-    cursor.advance_to(5000)
-    assert cursor.done
-    assert scanned([]) == ([], 0)
+def test_probes():
+    assert 500 in probes(0, 500, 1000) and len(set(probes(0, 500, 1000))) < 50
+    assert list(probes(7, 7, 10)) == [] and list(probes(3, 4, 10)) == [4, 4]
+    assert max(probes(0, 10, 10)) == 9 and scanned([]) == ([], 0) and scanned([[], [1]]) == ([], 1)
+
+
+def test_run_averages(spark):
+    rows = [(0, 10, 5, False, 0.5), (1, 0, 0, True, 0.0)]
+    found = run_averages(spark.createDataFrame(rows, "qid long, postings_in_lists long, postings_scanned long, early_terminated boolean, skip_ratio double")).first()
+    assert tuple(found) == (2, 1, 0.25, 0.0, 0.5)
 
 
 @given(st.lists(st.lists(st.integers(0, 60), max_size=40, unique=True).map(sorted), min_size=1, max_size=4))
@@ -112,8 +115,40 @@ def test_merge_partials(spark):
     make = lambda rows: spark.createDataFrame(rows, "term string, doc_id long, tf long")
     merged = ix.merge_partials(make([("x", 0, 1), ("x", 2, 1)]), make([("x", 5, 1), ("x", 8, 1), ("x", 2, 3)]), make([("y", 1, 1)]))
     assert {(r.term, r.doc_id, r.tf) for r in merged.collect()} == {("x", 0, 1), ("x", 2, 4), ("x", 5, 1), ("x", 8, 1), ("y", 1, 1)}
-    lists = {r.term: [(p.doc_id, p.tf) for p in r.postings] for r in ix.posting_lists(merged).collect()}
-    assert lists["x"] == [(0, 1), (2, 4), (5, 1), (8, 1)]
+    lists = {(r.term, r.chunk): [(p.doc_id, p.tf) for p in r.postings] for r in ix.posting_lists(merged, chunk_docs=5).collect()}
+    assert lists == {("x", 0): [(0, 1), (2, 4)], ("x", 1): [(5, 1), (8, 1)], ("y", 0): [(1, 1)]}
+    assert {r.n for r in ix.posting_lists(merged).filter("term = 'x'").collect()} == {4}
+
+
+def test_damaged_list(spark, tmp_path):
+    """A list whose length is not its df fails, also where all of it is gone."""
+    docs = spark.createDataFrame([(i, str(i), "alpha beta" if i else "alpha gamma") for i in range(4)], "doc_id long, original_id string, content string")
+    index = index_store.save(docs, str(tmp_path), SIMPLE, buckets=4)
+    assert index_store.read_postings(index, ["alpha", "beta", "none"]).count() == 7
+    for lost in ("term <> 'gamma'", "NOT (term = 'alpha' AND doc_id = 2)"):
+        broken = replace(index, postings=index.postings.filter(lost))
+        with pytest.raises(Exception, match="the lexicon says"):
+            index_store.read_postings(broken, ["alpha", "beta", "gamma"]).collect()
+    index_store.close(index)
+    assert index_store.load(spark, str(tmp_path)).stats_row() == (4, 2.0)
+
+
+def test_stemmed_search(spark):
+    """The default analyzer over a saved index, against the definition over all documents."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = [json.loads(r.value) for r in catalogue.stemmed_search(spark, sf).collect()]
+    for query, answer in zip([q.strip() for q in catalogue.BATCH], got, strict=True):
+        assert answer["Query"] == query
+        assert [(int(r["ID"]), r["Score"]) for r in answer["Results"]] == [(d, pytest.approx(s, abs=1e-4)) for d, s in brute(texts, query, "BM25", Analyzer())]
+
+
+def test_rare_with_common(spark, tmp_path):
+    """Only the rare list's documents are looked up: the common list isn't sent to meet them by document."""
+    docs = spark.createDataFrame([(i, str(i), "common rare" if i % 500 == 3 else "common") for i in range(2000)], "doc_id long, original_id string, content string")
+    index = index_store.save(docs, str(tmp_path), SIMPLE, buckets=2)
+    found = se.match(se.lookup(se.query_terms(se.parse_queries(query_table(spark, ["common rare", "common"]), SIMPLE)), index.lexicon), index)
+    assert sorted(r.doc_id for r in found.filter("qid = 0").collect()) == [3, 503, 1003, 1503] and found.filter("qid = 1").count() == 2000
 
 
 def test_top_k(spark):
@@ -123,9 +158,9 @@ def test_top_k(spark):
     assert se.top_k(spark.createDataFrame(rows, "qid long, doc_id long, score double"), 99).count() == 5
 
 
-def brute(docs, query, ranker):
-    terms = list(dict.fromkeys(SIMPLE.analyze(query)))
-    analyzed = {d: SIMPLE.analyze(t) for d, t in docs.items()}
+def brute(docs, query, ranker, analyzer=SIMPLE):
+    terms = list(dict.fromkeys(analyzer.analyze(query)))
+    analyzed = {d: analyzer.analyze(t) for d, t in docs.items()}
     n, avgdl = len(docs), sum(map(len, analyzed.values())) / len(docs)
     df = {t: sum(t in a for a in analyzed.values()) for t in terms}
     out = []
