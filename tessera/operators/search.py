@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from ..sources.index_store import term_bucket
 from .index import Index
 
 TOP_K = 10
+#: Queries of a batch that the driver plans by their terms; a larger batch stays a table throughout.
+PLANNED_QUERIES = 10_000
+#: Postings of the rarest terms, by their df, that every task may hold.
+HELD_POSTINGS = 200_000
 
 
 def parse_queries(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -35,35 +41,98 @@ def resolved(found: DataFrame) -> DataFrame:
     return found.join(missing, "qid", "left_anti")
 
 
+def _with_postings(rows: DataFrame, index: Index, *keys: str) -> DataFrame:
+    """rows (with term) joined with their postings; with stored buckets the join prunes partitions by what the rows need."""
+    if index.buckets:
+        rows, keys = rows.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets)), ("term_bucket", *keys)
+    return rows.join(index.postings, list(keys))
+
+
 def hits(live: DataFrame, index: Index) -> DataFrame:
-    """A row for each query term and posting; with stored buckets the join prunes partitions by what the queries need."""
-    keys = ["term"]
+    """A row for each query term and posting."""
+    return _with_postings(live, index, "term").select("qid", "pos", "term", "n_terms", "df", "doc_id", "tf")
+
+
+@dataclass(frozen=True)
+class _Term:
+    df: int
+    pos: int
+    term: str
+    bucket: int
+
+
+def _of_terms(terms: DataFrame, index: Index, known: list[_Term]) -> DataFrame:
+    """The postings of a small table of query terms, which every task holds; known terms and their buckets reach the scan."""
+    postings = index.postings
     if index.buckets:
-        live, keys = live.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets)), ["term_bucket", "term"]
-    return live.join(index.postings, keys).select("qid", "pos", "term", "n_terms", "df", "doc_id", "tf")
+        postings = postings.filter(F.col("term_bucket").isin(*{t.bucket for t in known}))
+    if len(known) <= 100:
+        postings = postings.filter(F.col("term").isin(*{t.term for t in known}))
+    return postings.join(F.broadcast(terms), "term")
+
+
+def _matched(more: DataFrame) -> DataFrame:
+    """Documents with as many postings of other terms as the query has."""
+    more = more.withColumn("other", F.struct("other.df", "other.pos", "other.term", "tf"))
+    grouped = more.groupBy("qid", "doc_id").agg(F.count("*").alias("m"), F.first("n_rest").alias("n_rest"), F.first("one").alias("one"), F.collect_list("other").alias("others"))
+    return grouped.filter("m = n_rest").select("qid", "doc_id", F.array_sort(F.concat(F.array("one"), "others")).alias("postings"))
+
+
+def _match_planned(batch: dict[int, list[_Term]], index: Index) -> DataFrame:
+    """match() for a batch whose terms the driver knows, each query's sorted by (df, pos)."""
+    spark, parts = index.postings.sparkSession, []
+    one = F.struct("df", "pos", "term", "tf").alias("one")
+    single = [(q, t[0].df, t[0].pos, t[0].term) for q, t in batch.items() if len(t) == 1]
+    if single:
+        rows = _of_terms(spark.createDataFrame(single, "qid long, df long, pos int, term string").coalesce(1), index, [t[0] for t in batch.values() if len(t) == 1])
+        parts.append(rows.select("qid", "doc_id", F.array(one).alias("postings")))
+    several = {q: t for q, t in batch.items() if len(t) > 1}
+    if several:
+        rare = spark.createDataFrame([(q, t[0].df, t[0].pos, t[0].term, len(t) - 1) for q, t in several.items()], "qid long, df long, pos int, term string, n_rest int").coalesce(1)
+        first = _of_terms(rare, index, [t[0] for t in several.values()]).select("qid", "doc_id", one, "n_rest")
+        others = spark.createDataFrame([(q, (x.df, x.pos, x.term), x.term) for q, t in several.items() for x in t[1:]], "qid long, other struct<df: long, pos: int, term: string>, term string").coalesce(1)
+        if sum(t[0].df for t in several.values()) <= HELD_POSTINGS:
+            there = _of_terms(others, index, [x for t in several.values() for x in t[1:]]).select("qid", "doc_id", "other", "tf")
+            parts.append(_matched(there.join(F.broadcast(first), ["qid", "doc_id"])))
+        else:
+            parts.append(_matched(_with_postings(first.join(F.broadcast(others), "qid"), index, "term", "doc_id")))
+    if not parts:
+        return index.postings.limit(0).select(F.lit(0).cast("long").alias("qid"), "doc_id", F.array(F.struct(F.lit(0).cast("long").alias("df"), F.lit(0).alias("pos"), "term", "tf")).alias("postings"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def match(found: DataFrame, index: Index) -> DataFrame:
     """qid, doc_id and the term postings (df, pos, tf) of documents that have all terms of a query (relational division).
 
-    The list of a query's rarest term is read first; its documents, with the query's other terms, are then looked up
-    in the postings by term and document, so the work follows the rare list. What the lookup sends is small enough to go
-    to every task, or both sides meet by term and document, which no hot term can pile up.
+    A query becomes one row with its terms, the rarest first. The list of that one is read; what it has in common with the
+    other lists is found where those lie, if the rarest lists of all queries, whose length the lexicon gives, are few
+    enough for every task to hold. Otherwise, or in a batch of more than PLANNED_QUERIES, the documents of the rarest list
+    are looked up in the others by term and document, which no hot term piles up.
     """
-    live = resolved(found)
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("df", "pos"))
-    ranked = live.withColumn("nth", place)
-    first = hits(ranked.filter("nth = 1").drop("nth"), index)
-    rest = ranked.filter("nth > 1").select("qid", "pos", "term", "n_terms", "df")
-    asked = first.filter("n_terms > 1").select("qid", "doc_id").join(rest, "qid")
-    keys = ["term", "doc_id"]
-    if index.buckets:
-        asked, keys = asked.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets)), ["term_bucket", *keys]
-    more = asked.join(index.postings, keys).select(*first.columns)
-    one = F.struct("df", "pos", "term", "tf")
-    alone = first.filter("n_terms = 1").select("qid", "doc_id", F.array(one).alias("postings"))
-    grouped = first.filter("n_terms > 1").unionByName(more).groupBy("qid", "doc_id").agg(F.count("*").alias("m"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_list(one)).alias("postings"))
-    return alone.unionByName(grouped.filter("m = n_terms").select("qid", "doc_id", "postings"))
+    by_query = found.groupBy("qid").agg(F.bool_or(F.col("df").isNull()).alias("missing"), F.array_sort(F.collect_list(F.struct("df", "pos", "term"))).alias("terms"))
+    live = by_query.filter(~F.col("missing")).select("qid", "terms")
+    buckets = F.transform("terms", lambda t: term_bucket(t["term"], max(1, index.buckets)))
+    few = live.withColumn("buckets", buckets).limit(PLANNED_QUERIES + 1).collect()
+    if len(few) <= PLANNED_QUERIES:
+        return _match_planned({r.qid: [_Term(*t, b) for t, b in zip(r.terms, r.buckets, strict=True)] for r in few}, index)
+    live = live.select("qid", F.col("terms")[0].alias("rare"), F.expr("slice(terms, 2, size(terms))").alias("rest")).withColumn("term", F.col("rare.term"))
+    first = _with_postings(live, index, "term").select("qid", "doc_id", F.struct("rare.df", "rare.pos", "rare.term", "tf").alias("one"), "rest")
+    alone = first.filter(F.size("rest") == 0).select("qid", "doc_id", F.array("one").alias("postings"))
+    asked = first.filter(F.size("rest") > 0).select("qid", "doc_id", "one", F.size("rest").alias("n_rest"), F.explode("rest").alias("other")).withColumn("term", F.col("other.term"))
+    return alone.unionByName(_matched(_with_postings(asked, index, "term", "doc_id")))
+
+
+def match_batch(queries: DataFrame, index: Index) -> DataFrame:
+    """match() for queries (qid, raw). The driver analyzes a batch of up to PLANNED_QUERIES and asks the lexicon for its terms alone."""
+    few = queries.select("qid", "raw").limit(PLANNED_QUERIES + 1).collect()
+    terms = {r.qid: list(dict.fromkeys(index.analyzer.analyze(r.raw))) for r in few} if len(few) <= PLANNED_QUERIES else {}
+    wanted = {t for ts in terms.values() for t in ts}
+    if len(few) > PLANNED_QUERIES or len(wanted) > PLANNED_QUERIES:
+        return match(lookup(query_terms(parse_queries(queries, index.analyzer)), index.lexicon), index)
+    known = index.lexicon.filter(F.col("term").isin(*wanted)).select("term", "df", term_bucket(F.col("term"), max(1, index.buckets)).alias("b")).collect() if wanted else []
+    df = {r.term: (r.df, r.b) for r in known}
+    batch = {q: sorted((_Term(df[t][0], n, t, df[t][1]) for n, t in enumerate(ts)), key=lambda x: (x.df, x.pos)) for q, ts in terms.items() if ts and all(t in df for t in ts)}
+    return _match_planned(batch, index)
 
 
 def metrics(parsed: DataFrame, found: DataFrame) -> DataFrame:
@@ -93,8 +162,7 @@ def top_k(candidates: DataFrame, k: int = TOP_K) -> DataFrame:
 def search(index: Index, queries: DataFrame, ranker: str | Scorer = "BM25", k: int = TOP_K) -> DataFrame:
     """qid, rank, doc_id, original_id, score for queries (qid, raw); ids are looked up for the k best only."""
     scorer = get_scorer(ranker) if isinstance(ranker, str) else ranker
-    found = lookup(query_terms(parse_queries(queries, index.analyzer)), index.lexicon)
-    best = top_k(scored(match(found, index), index, scorer), k)
+    best = top_k(scored(match_batch(queries, index), index, scorer), k)
     return best.join(index.doc_index.select("doc_id", "original_id"), "doc_id").select("qid", "rank", "doc_id", "original_id", "score")
 
 

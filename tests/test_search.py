@@ -143,8 +143,11 @@ def test_stemmed_search(spark):
         assert [(int(r["ID"]), r["Score"]) for r in answer["Results"]] == [(d, pytest.approx(s, abs=1e-4)) for d, s in brute(texts, query, "BM25", Analyzer())]
 
 
-def test_rare_with_common(spark, tmp_path):
-    """Only the rare list's documents are looked up: the common list isn't sent to meet them by document."""
+@pytest.mark.parametrize(("planned", "held"), [(10_000, 200_000), (10_000, 0), (0, 0)])
+def test_rare_with_common(spark, tmp_path, monkeypatch, planned, held):
+    """All ways of matching agree."""
+    monkeypatch.setattr(se, "PLANNED_QUERIES", planned)
+    monkeypatch.setattr(se, "HELD_POSTINGS", held)
     docs = spark.createDataFrame([(i, str(i), "common rare" if i % 500 == 3 else "common") for i in range(2000)], "doc_id long, original_id string, content string")
     index = index_store.save(docs, str(tmp_path), SIMPLE, buckets=2)
     found = se.match(se.lookup(se.query_terms(se.parse_queries(query_table(spark, ["common rare", "common"]), SIMPLE)), index.lexicon), index)
