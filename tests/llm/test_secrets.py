@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,7 +30,7 @@ def check(found, texts):
         spans = base_spans(texts[r.doc_id])
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.base] == [f"{k}:{a}:{b}" for k, a, b in spans], texts[r.doc_id]
-        assert hashlib.sha256(joined.encode()).hexdigest()
+        assert joined == ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.base)
 
 
 CASES = [
@@ -61,6 +62,35 @@ def test_ownership(spark):
     assert secrets.redact(table).columns == table.columns and masked[12]["__row"] == "x"
 
 
+def test_digest(spark, tmp_path):
+    """The columns of the query against the definition."""
+    docs_table(spark, [(i, t, "en", "s") for i, t in enumerate(CASES)], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in secrets.op2_secret_scan(spark, str(tmp_path)).collect():
+        spans = base_spans(CASES[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in spans) for kind in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_repositories(spark):
+    """A value of one owner is an example from MIN_REPOS repositories on; rows that repeat one do not count again."""
+    rows = [(i, f"token={LIVE}", "en", "one") for i in range(99)] + [(5, f"token={LIVE}", "en", "one")] * 4
+    assert {s.verdict for r in secrets.scan(docs_table(spark, rows)).collect() for s in r.spans} == {"live"}
+    found = secrets.scan(docs_table(spark, [*rows, (99, f"say token={LIVE}", "en", "one")])).collect()
+    assert {(s.verdict, s.owners, s.repos) for r in found for s in r.spans} == {("example", 1, 100)}
+
+
+def test_many_matches_in_one_text(spark):
+    """20,000 values in one text and a value in a third of all rows."""
+    rng = random.Random(23)
+    long = " ".join(f"token={rng.getrandbits(60):015x}Zz {rng.getrandbits(96):024x}" for _ in range(20_000))
+    rows = [(0, long, "en", "a")] + [(i, f"say api_key={LIVE} now" if i % 3 == 0 else "plain words", "en", f"s{i % 2}") for i in range(1, 901)]
+    began = time.time()
+    check(secrets.scan(docs_table(spark, rows)).collect(), {r[0]: r[1] for r in rows})
+    assert time.time() - began < 60
+    masked = {r.doc_id: r.text for r in secrets.redact(docs_table(spark, rows)).select("doc_id", "text").collect()}
+    assert masked[0].split()[:2] == ["token=[secret]", "[secret]"] and masked[0] == " ".join(["token=[secret] [secret]"] * 20_000) and masked[3] == rows[3][1]
+
+
 def test_awkward(spark):
     rows = awkward(random.Random(5)) + [(30, f"token={LIVE}", None, None)] * 2
     table = docs_table(spark, rows)
