@@ -2,8 +2,12 @@
 
 Every document of a source has the same expected number of copies, target words / words of the source. Documents are
 put in one order per source, expected copies are added up along it from one random offset, and a document is emitted
-once for each integer that its step crosses. The order is by size, so that the words taken differ from the target by
-less than about one document.
+once for each integer that its step crosses. As expected copies are equal within a source, the prefix sum up to its kth
+document is k times that number. The order is by size, so that the words taken differ from the target by less than about
+one document.
+
+Documents, and sources too, are sorted by ranges; places come from each partition's own numbering and the totals of the
+partitions before it. No task holds a source, or all sources.
 """
 
 from __future__ import annotations
@@ -28,21 +32,32 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), source))
 
 
+def _running(rows: DataFrame, order: list[str], name: str, **sums: str) -> DataFrame:
+    """rows with the sum of a column over all rows before each in the given order. Sorted by ranges: what one task adds up is a partition, or one number a partition."""
+    held = keep(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    totals = held.groupBy("part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("part").alias("part_of"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_before") for n in sums])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = held.join(before, F.col("part") == F.col("part_of"))
+    return placed.select(*rows.columns, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"{n}_before")).alias(n) for n, c in sums.items()])
+
+
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """sources (skey, words) with its target: weights repeat in the order of skey; a target stops at most * words and the
-    excess is dealt out again by weight. One row a source, so the windows over all of them hold that list alone."""
-    everything = Window.partitionBy()
-    ranked = (
-        sources.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("skey")))
-        .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int")))
-        .withColumn("top", F.lit(most) * F.col("words"))
-        .withColumn("total", F.sum("words").over(everything))
-    )
-    order = Window.partitionBy().orderBy(F.col("top") / F.col("weight"), "skey")
-    filled = F.coalesce(F.sum("top").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = ranked.withColumn("level", (F.lit(share) * F.col("total") - filled) / open_weight)
-    return level.withColumn("target", F.least(F.col("top"), F.max("level").over(everything) * F.col("weight"))).select("skey", "words", "target")
+    excess is dealt out again by weight.
+
+    Sources are filled up in the order of words a weight. With `filled` and `spent` the words and weights of those before
+    it, a source finds the level (share * total - filled) / (weights left); the highest level is what the others get.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = _running(sources.withColumn("one", F.lit(1).cast("long")), ["skey"], "mix-sources", place="one")
+    ranked = ranked.withColumn("weight", weight).withColumn("top", F.lit(most) * F.col("words")).withColumn("full_at", F.col("top") / F.col("weight"))
+    filled = keep(_running(ranked.drop("one", "place"), ["full_at", "skey"], "mix-filling", filled="top", spent="weight"), "mix-levels")
+    total, weight_of_all = filled.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = (F.lit(share) * F.lit(float(total)) - F.col("filled")) / (F.lit(weight_of_all) - F.col("spent"))
+    highest = filled.agg(F.max(level)).first()[0] or 0.0
+    return filled.select("skey", "words", F.least(F.col("top"), F.lit(highest) * F.col("weight")).alias("target"))
 
 
 def offset(skey: Column, seed: str = SEED) -> Column:
@@ -50,42 +65,46 @@ def offset(skey: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), skey)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, skey, size, source_size, target, copies (0 to ceil(most)) for each row of docs (doc_id, source, text).
+def _crossed(tagged: DataFrame, weights: tuple, share: float, most: float, seed: str) -> DataFrame:
+    """tagged (skey, size, doc_id and more) with words and target of its source and copies.
 
-    Null text has size 0; null source is a source of its own, last; a source without words has target 0 and no copies;
-    an empty table gives an empty result. Rows with equal source, size and doc_id are interchangeable. Other columns are
-    not read. The order within a source is found by a range sort over all rows and numbered partition by partition, so
-    a hot source is spread over tasks.
+    Rows are written in order with their numbers. From then on a partition's part of a source is one row: where it begins,
+    and how many rows of the source lie before it.
     """
-    slim = docs.select("doc_id", _key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"))
     order = ["skey", "size", "doc_id"]
-    slim = keep(slim.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-sorted")
-    counts = slim.groupBy("part", "skey").agg(F.count("*").alias("rows"), F.sum("size").alias("part_words"))
+    held = keep(tagged.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()), "mix-sorted")
+    held = held.withColumn("part", F.shiftright("pos", 33))
+    runs = keep(held.groupBy("part", "skey").agg(F.min("pos").alias("first"), F.count("*").alias("rows"), F.sum("size").alias("part_words")), "mix-runs")
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("before", before).select("part", "skey", "before")
-    goals = targets(slim.groupBy("skey").agg(F.sum("size").alias("words")), weights, share, most)
+    goals = targets(runs.groupBy("skey").agg(F.sum("part_words").alias("words")), weights, share, most)
     rate = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0))
     goals = goals.withColumn("rate", rate).withColumn("u", offset(F.col("skey"), seed))
-    place = F.row_number().over(Window.partitionBy("part", "skey").orderBy("size", "doc_id"))
-    numbered = slim.withColumn("n", place).join(counts, ["part", "skey"]).join(goals, "skey")
-    k = (F.col("n") + F.col("before")).cast("double")
+    runs = keep(runs.select("part", "skey", (F.col("first") - before).alias("origin")).join(goals, "skey"), "mix-places")
+    k = (F.col("pos") - F.col("origin") + 1).cast("double")
     crossed = F.floor(k * F.col("rate") + F.col("u")) - F.floor((k - 1.0) * F.col("rate") + F.col("u"))
-    return numbered.select(
-        "doc_id", "skey", "size", F.col("words").alias("source_size"), "target",
-        F.least(crossed, F.lit(int(-(-most // 1)))).cast("long").alias("copies"),
-    )
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that agree in doc_id, source and size may swap copies."""
-    same = ["__id", "__key", "__size", "__tie"]
-    tie = lambda order: F.row_number().over(Window.partitionBy(*same[:3]).orderBy(order))
-    chosen = mix(docs, **options).filter("copies > 0").select(F.struct("doc_id").alias("__id"), F.col("skey").alias("__key"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    tagged = docs.select(F.struct("*").alias("__doc"), F.struct("doc_id").alias("__id"), _key(F.col("source")).alias("__key"), n_words(F.col("text")).alias("__size"))
-    chosen, tagged = chosen.withColumn("__tie", tie("__copies")), tagged.withColumn("__tie", tie(F.lit(1)))
-    joined = tagged.join(chosen.withColumnsRenamed({c: f"{c}_of" for c in same}), [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in same])
-    return joined.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__doc.*")
+    return held.join(runs, ["part", "skey"]).withColumn("copies", F.least(crossed, F.lit(int(-(-most // 1)))).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """doc_id, skey, size, source_size, target, copies (0 to ceil(most)) for each row of docs (doc_id, source, text).
+
+    Null text has size 0; null source is a source of its own, last; a source without words has target 0 and no copies;
+    an empty table gives an empty result. Rows with equal source, size and doc_id are interchangeable. Other columns are
+    not read. Sizes are taken once, before rows without texts are sorted.
+    """
+    slim = keep(docs.select("doc_id", _key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size")), "mix-sizes")
+    return _crossed(slim, weights, share, most, seed).select("doc_id", "skey", "size", F.col("words").alias("source_size"), "target", "copies")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Rows that agree in doc_id, source and size may swap copies.
+
+    Nulls, empty tables and repeated rows are as in mix(); columns of any name are kept, as a row travels in one column.
+    Texts are sorted into their places once and don't move again.
+    """
+    tagged = docs.select(F.struct("*").alias("__doc"), _key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), F.col("doc_id"))
+    taken = _crossed(tagged, weights, share, most, seed).filter("copies > 0")
+    return taken.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
