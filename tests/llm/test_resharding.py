@@ -68,9 +68,21 @@ def test_awkward(spark):
     assert run(spark, []).count() == 0
 
 
-def test_slots(spark):
+def test_query(spark):
+    """Every row with its size and checksum, bytes near equal, equal texts together, slots without gaps."""
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     found = resharding.op3_resharding(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in found) == sorted((d, len(t) + 1, zlib.crc32(t)) for d, t in docs)
+    assert {r.shard for r in found} <= set(range(16)) and {r.law for r in found} == {"bytes"} and {r.grown_shard for r in found} == {None}
     for shard in {r.shard for r in found}:
-        own = sorted(r.slot for r in found if r.shard == shard)
-        assert own == list(range(len(own)))
-    assert {r.law for r in found} == {"bytes"} and {r.grown_shard for r in found} == {None}
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(sum(r.shard == shard for r in found)))
+    sizes = [sum(r["size"] for r in found if r.shard == k) for k in range(16)]
+    texts, where = dict(docs), {}
+    for r in found:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    whole = {}
+    for _, t in docs:
+        whole[t] = whole.get(t, 0) + len(t) + 1
+    mean = sum(sizes) / 16
+    assert all(len(s) == 1 for t, s in where.items() if whole[t] < 0.5 * mean)
+    assert max(sizes) - min(sizes) <= max(mean * 0.02, max(whole.values()))
