@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+
+from ..session import keep, scratch  # noqa: F401
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,30 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT_ROWS, TEXT_BYTES = 1024, 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def watched(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
     """keep(), and measures of the rows as they are written (0 where there is none), without a job of their own."""
     seen = Observation()
@@ -59,31 +35,25 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Make Arrow batches short in this session, for plans that send whole texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
-
-
-def search_sorted(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are <= value, by binary search inside the plan; null counts as below all."""
-    if not bounds:
-        return F.lit(0)
-    steps = max(1, len(bounds).bit_length())
-    array = "array(" + ",".join(f"{int(b)}L" for b in bounds) + ")"
-    return F.coalesce(
-        F.aggregate(
-            F.sequence(F.lit(1), F.lit(steps)),
-            F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"), value.alias("v")),
-            lambda acc, _: F.struct(
-                F.when((acc.lo < acc.hi) & (F.get(F.expr(array), ((acc.lo + acc.hi) / 2).cast("int")) <= acc.v), ((acc.lo + acc.hi) / 2).cast("int") + 1).otherwise(acc.lo).alias("lo"),
-                F.when((acc.lo < acc.hi) & (F.get(F.expr(array), ((acc.lo + acc.hi) / 2).cast("int")) > acc.v), ((acc.lo + acc.hi) / 2).cast("int")).otherwise(acc.hi).alias("hi"),
-                acc.v.alias("v"),
-            ),
-            lambda acc: F.when(value.isNull(), F.lit(0)).otherwise(acc.lo),
-        ),
-        F.lit(0),
-    )
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Short Arrow batches for the tables that are written meanwhile, which send whole texts to Python; then the session is as before."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(TEXT_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(TEXT_BYTES)}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def short(batches: Iterable[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def key_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

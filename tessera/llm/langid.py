@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import short
 
 ORDER = 4
 SAMPLE_DOCS = 1500
@@ -28,7 +28,8 @@ SPANS = 20
 SAMPLE_TOTAL = 12000
 #: Characters scored or counted at a time, to bound memory.
 SCORE_CHARS = 500_000
-_BITS = 12
+#: Bits of a character's number: the 65,534 most frequent code points of the sample have one, any other is unknown.
+_BITS = 16
 _UNKNOWN = (1 << _BITS) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RADIX = 18
@@ -265,6 +266,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
 
     Repeated rows (lang, doc_id, text) count once. A language's rows are thinned by a hash of id and text to about 1.2 times
     its share of the sample, and cut to it in the order of that hash; no task gathers a language. A text longer than sample_chars gives spans of it.
+    Rows whose doc_id, lang or text is null teach nothing; without any other rows, or in an empty table, nothing is learned and
+    every text is rejected. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("row"))
@@ -293,12 +296,10 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     Null or empty text and text without a letter is `und` with score 0 and rejected; so is all text if nothing was
     learned. Equal texts get equal answers; other columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(models)  # a few MB, bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # a few MB, bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             found = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))],
@@ -309,13 +310,15 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, models: Models) -> DataFrame:
-    """The rows of docs whose text the models do not reject, with all their columns."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(models)
+    """The rows of docs whose text the models do not reject, with all their columns, whatever their names.
+
+    Null or empty text and text without a letter go; equal texts go or stay together, each repeated row by itself; an empty
+    table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             yield batch.filter(pa.array([not f[3] for f in shared.value.predict(batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

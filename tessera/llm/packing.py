@@ -27,9 +27,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece (from 0), start, length, ids_crc32 (and ids) of docs (doc_id, text): token ids and then end_id, cut only beyond `tokens`."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(definition(tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(definition(tokenizer))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +113,8 @@ def pack(items: DataFrame, room: int = TOKENS, lane_rows: int = LANE_ROWS) -> Da
     Equal items are items of their own. An empty table gives an empty result. Items are dealt by a hash of their row
     number in a written table, so repeated rows and hot sources spread evenly.
     """
-    held = keep(items.withColumn("__row", F.monotonically_increasing_id()), "pack-items")
+    with text_batches(items.sparkSession):
+        held = keep(items.withColumn("__row", F.monotonically_increasing_id()), "pack-items")
     lanes = -(-max(1, held.count()) // lane_rows)
     dealt = held.withColumn("__lane", F.pmod(F.xxhash64("__row"), F.lit(lanes)))
     ordered = dealt.repartition(lanes, "__lane").sortWithinPartitions("__lane", F.xxhash64("__row", F.lit(1)), "__row")

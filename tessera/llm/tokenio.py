@@ -57,7 +57,9 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _open(uri: str) -> tuple[FileSystem, str]:
-    return FileSystem.from_uri(uri)
+    """The file system of a path as Spark names it, and the path there; s3a and s3n are what others call s3."""
+    scheme, mark, rest = uri.partition("://")
+    return FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else uri)
 
 
 def _write_block(out, docs: list, parts: list[np.ndarray], rank_of: np.ndarray) -> None:
@@ -86,9 +88,7 @@ def read_file(uri: str, id_of: np.ndarray) -> Iterator[tuple[list, np.ndarray, n
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens, ids (compressed 32-bit integers, the end id included) of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(definition(tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(definition(tokenizer))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +197,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     """The manifest of the files that hold the ids of docs (doc_id, text). Null text is empty (the end id alone); null
     doc_ids come first; equal doc_ids are ordered by length and content; repeated rows are written each; an empty table
     gives an empty manifest."""
-    rows = keep(token_rows(docs, tokenizer, end_id), "tokens-rows")
-    manifest = write_files(rows, folder)
+    with text_batches(docs.sparkSession):
+        rows = keep(token_rows(docs, tokenizer, end_id), "tokens-rows")
+        manifest = write_files(rows, folder)
     forget(rows)
     return manifest
 

@@ -2,8 +2,9 @@
 
 The library cuts a text into pieces and merges within each piece alone. Texts of common Latin characters without an
 apostrophe are cut here by the same rule, over arrays, and a piece already seen takes its ids from memory by its 64-bit
-hash; pieces not seen go to the library. Every other text goes to the library as a whole. The rule is used only if it
-agrees with the library on a probe.
+hash; pieces not seen go to the library. Every other text goes to the library as a whole, and so does one that holds the
+string of an added token: the library, as it is set by default, makes that token of it. The rule is used only if it agrees
+with the library on a probe.
 """
 
 from __future__ import annotations
@@ -143,7 +144,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t["content"].lower() for t in json.loads(definition).get("added_tokens", [])]
+        self.added, self.mark = added, os.path.commonprefix(added)
         lower = "Lowercase" in json.dumps(json.loads(definition).get("normalizer"))
         self.plain, self.lower, self.word = True, lower, _LETTER_WORD if lower else _SPACE_WORD
         names = self.library.get_vocab()
@@ -212,9 +214,13 @@ class Encoder:
         cuts = (4 * before[np.searchsorted(starts, edges)]).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _holds_added(self, text: str) -> bool:
+        """Whether the string of an added token, in any case, is in the text."""
+        return bool(self.added) and self.mark in (low := text.lower()) and any(a in low for a in self.added)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [self.plain and _PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [self.plain and not self._holds_added(t) and _PLAIN.fullmatch(t) is not None for t in texts]
         by_pieces = iter(self._by_pieces([t for t, p in zip(texts, plain, strict=True) if p]))
         return [next(by_pieces) if p else self._whole(t) for t, p in zip(texts, plain, strict=True)]
 

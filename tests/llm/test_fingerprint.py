@@ -41,7 +41,7 @@ def like(a, b):
 
 
 def brute(rows):
-    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0))  # rows of one doc_id are equal here
     out = []
     for (doc, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
         q = len(text) // 4
@@ -54,9 +54,16 @@ def test_against_brute_force(spark):
     rng = random.Random(15)
     rows = awkward(rng) + [(50 + i, prose(rng, rng.randint(0, 40)), "en", "a") for i in range(60)]
     key = lambda r: tuple(-1 if x is None else x for x in r)
-    for size in (5, 2048):
+    for size in (1, 5, 2048):
         found = fingerprint.fingerprints(docs_table(spark, rows), size).collect()
-        assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in found], key=key) == sorted(brute(rows), key=key)
+        assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, round(r.ends_edited, 9), round(r.ends_next, 9)) for r in found], key=key) == sorted(brute(rows), key=key)
+        assert all(r.ends_edited - 1e-9 <= r.near_edited <= 1 and r.ends_next - 1e-9 <= r.near_next <= 1 for r in found)
+    texts = dict(r[:2] for r in rows)
+    for r, after in [(r, texts[d]) for r, d in zip(sorted((r for r in found if (r.doc_id or 0) >= 50), key=lambda r: r.doc_id), range(51, 110))]:
+        own = texts[r.doc_id]
+        edited = own[: len(own) - len(own) // 4] + after[: len(own) // 4]
+        assert r.near_next <= max(longest_common(own, after) / max(len(own), len(after), 1), float(own == after)) + 1e-9
+        assert r.near_edited <= max(longest_common(own, edited) / max(len(own), 1), float(own == edited)) + 1e-9
     prints = {}
     for r in found:
         prints.setdefault(r.fingerprint, r.n_chars)
@@ -97,6 +104,6 @@ def test_scattered_edits(spark):
     lines = "the same line again\n" * 60
     rows = [(1, text, "en", "a"), (2, near, "en", "a"), (3, prose(rng, 400, "otra cosa que nada tiene con esto"), "es", "a"), (4, lines, "en", "a"), (5, lines[:7] + "#" + lines[8:-9] + "??" + lines[-9:], "en", "a")]
     found = {r.doc_id: r for r in fingerprint.fingerprints(docs_table(spark, rows)).collect()}
-    assert found[1].near_next < 0.05 and found[1].aligned_next >= (len(text) - 12) / (len(text) + 3)
-    assert found[2].aligned_next < 0.1
-    assert found[4].near_next < 0.05 and found[4].aligned_next >= 0.95
+    assert found[1].ends_next < 0.05 and found[1].near_next >= (len(text) - 12) / (len(text) + 3)
+    assert found[2].near_next < 0.1
+    assert found[4].ends_next < 0.05 and found[4].near_next >= 0.95

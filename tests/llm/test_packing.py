@@ -18,9 +18,7 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 
 
 def library(path):
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -31,6 +29,17 @@ def test_encoder_agrees_with_the_library(path, texts):
     assert own.encode(texts) == [np.array(ref.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "endoftext|>", "a b", " ", "\n", "é", "日", "x's"]), max_size=8).map("".join), max_size=6))
+def test_added_tokens(path, texts):
+    """Strings of added tokens become these tokens, as the library has it by default."""
+    own, ref = tokenizing.encoder(tokenizing.definition(path)), library(path)
+    assert own.encode(texts) == [np.array(ref.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    name, number = ("<|endoftext|>", 49407) if path == WORD else ("<|endoftext|>", 50256)
+    assert number in np.frombuffer(own.encode([f"a {name} b"])[0], "<u4")
+
+
 def test_encoder_with_full_memory(monkeypatch):
     monkeypatch.setattr(tokenizing, "MEMORY", 50)
     own, ref = tokenizing.Encoder(tokenizing.definition(BYTE)), library(BYTE)

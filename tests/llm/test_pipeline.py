@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ import corpus_pipeline
 from tessera.llm import langid, mixing, queries
 from tessera.llm.common import keep
 
+from .helpers import awkward, docs_table, prose
 from .test_neardup import brute
 from .test_packing import check
 
@@ -59,11 +62,29 @@ def test_run(spark):
     assert out.count() > 0 and set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
 
 
-def test_awkward_table(spark):
-    from .helpers import awkward, docs_table
-    import random
+@pytest.mark.parametrize("extra", [False, True])
+def test_awkward_table(spark, extra):
+    """Nulls in every column, repeated rows, clashing names: what each stage must do with them."""
+    rows = awkward(random.Random(21)) + [(90 + i, f"{prose(random.Random(i), 30)}{' token=Zx81kPq02mQ77aLw' if i == 3 else ''}", "en", "a") for i in range(30)]
+    table, count = docs_table(spark, rows, extra), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, table = table, keep(stage(spark, table, SF), "test-awkward")
+        count[name] = (before.count(), table.count())
+        if name != "best_fit_packing":
+            assert table.columns == before.columns
+            assert not extra or table.filter("`__row` <> 'x' OR `row` <> 'x'").count() == 0
+        if name == "language_id":
+            assert table.filter("text IS NULL OR text = ''").count() == 0
+        if name == "near_duplicates":
+            assert table.filter("text = 'same text here again and again'").count() == before.filter("text = 'same text here again and again'").select("text").distinct().count()
+        if name == "secret_scan":
+            assert table.filter("contains(text, '[secret]')").count() == table.filter("doc_id = 93").count() and table.filter("contains(text, 'Zx81')").count() == 0
+    assert count["secret_scan"][0] == count["secret_scan"][1] and count["best_fit_packing"][1] >= count["best_fit_packing"][0] > 0
 
-    table = docs_table(spark, awkward(random.Random(21)), extra=False)
-    for _, stage in corpus_pipeline.STAGES:
-        table = keep(stage(spark, table, SF), "test-awkward")
-    table.count()
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_empty_table(spark, extra):
+    table = docs_table(spark, [], extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, SF)
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == table.columns)
