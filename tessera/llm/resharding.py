@@ -128,7 +128,8 @@ def write_layout(docs: DataFrame, old_shard, files: int | None = None) -> DataFr
     """Write docs as files of their old shards: each row as __doc, so that no column of theirs can clash, with __old, __file, __bucket, __sub.
 
     A bucket of equal texts with far more rows than the mean is cut into units by doc_id, so that no task meets an
-    unbounded group.
+    unbounded group. Null text counts as the empty one; null doc_ids are one value; repeated rows share a unit; an empty
+    table gives an empty layout.
     """
     bucket = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(BUCKETS)).cast("int")
     tagged = docs.select(F.struct("*").alias("__doc"), old_shard.cast("int").alias("__old"), bucket.alias("__bucket"))
@@ -141,7 +142,10 @@ def write_layout(docs: DataFrame, old_shard, files: int | None = None) -> DataFr
     sub = F.pmod(F.xxhash64("__doc.doc_id"), F.coalesce("__subs", F.lit(1))).cast("int")
     placed = tagged.join(F.broadcast(many), ["__old", "__bucket"], "left").withColumn("__sub", sub).drop("__subs")
     placed = placed.withColumn("__file", F.pmod(F.col("__bucket") + F.col("__sub"), F.lit(files)).cast("int"))
-    return keep(placed.repartition("__old", "__file").sortWithinPartitions("__old", "__file"), "shards-old", ["__old", "__file"])
+    # beyond BUCKETS files of FILE_BYTES a shard, a file of the plan is several on disk, so that no task writes more
+    slices = max(1, sum(r["bytes"] for r in found) // max(1, len({r["__old"] for r in found})) // files // FILE_BYTES)
+    dealt = placed.repartition("__old", "__file", F.pmod(F.xxhash64("__doc.doc_id", F.lit(1)), F.lit(slices)))
+    return keep(dealt.sortWithinPartitions("__old", "__file"), "shards-old", ["__old", "__file"])
 
 
 def plan(layout: DataFrame, n_new: int = NEW_SHARDS, cost: list[list[int]] | None = None) -> tuple[DataFrame, int]:
