@@ -14,6 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from .operators import search as se
+from .operators.galloping import galloping_metrics, run_averages
 from .session import MemoryMonitor, progress, ship
 from .sources import index_store
 from .sources.corpus import contents, read_jsonl
@@ -45,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("-r", "--ranker", required=True, type=lambda r: r.strip().upper(), choices=["TFIDF", "BM25"])
     search.add_argument("-k", type=_number(1), default=se.TOP_K)
     search.add_argument("--threads", type=_number(1))
+    search.add_argument("--stats", action="store_true", help="also report what skipping through the lists would save, and the time a query takes")
     return top
 
 
@@ -85,9 +87,14 @@ def run_index(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 def run_search(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     """One JSON line for each query, in order; a batch of k results a query fits the driver that prints it."""
-    queries = read_queries(spark, args.queries)
-    found = se.search(index_store.load(spark, args.index), queries, args.ranker, args.k)
-    return [row.value for row in se.as_json(se.results(queries, found)).collect()]
+    queries, index, began = read_queries(spark, args.queries), index_store.load(spark, args.index), time.time()
+    found = se.search(index, queries, args.ranker, args.k)
+    lines = [row.value for row in se.as_json(se.results(queries, found)).collect()]
+    if getattr(args, "stats", False):
+        spent = time.time() - began
+        report = run_averages(galloping_metrics(index, queries)).first().asDict()
+        print(json.dumps(report | {"ms_a_query": round(1000 * spent / max(1, len(lines)), 2)}), file=sys.stderr)
+    return lines
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -7,6 +7,9 @@ Scores are ranked after rounding to nine places there, so that the last bit of a
 
 from __future__ import annotations
 
+import glob
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,10 @@ from ..operators import index as ix
 from ..operators import search as se
 from ..operators import galloping as ga
 from ..session import scratch, spread
+from ..sources import binary
 from ..sources.corpus import Corpus, contents, first_docs, from_table, full_content, read_jsonl
 from ..sources.index_store import get_df, read_postings, save
-from ..sources.query_file import query_table
+from ..sources.query_file import query_table, read_queries
 
 #: Rare, common, stop-word, missing, empty after analysis and repeated terms.
 BATCH = ["erth onth thon", "thre ther", "erre", "ment elle", "ung keit", "with from have", "zzznope thre", "the and a", "  thre thre ther  "]
@@ -111,9 +115,21 @@ def jsonl_rejects(spark, sf_dir):
     return _jsonl(spark, sf_dir).rejects.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _saved_lines(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """An index over JSON lines."""
+    return save(contents(_jsonl(spark, sf_dir).documents), scratch(spark, "index"), SIMPLE, buckets=16)
+
+
+def saved_lexicon(spark, sf_dir):
+    return _saved_lines(spark, sf_dir).lexicon
+
+
+def saved_doc_index(spark, sf_dir):
+    return _saved_lines(spark, sf_dir).doc_index
+
+
 def saved_statistics(spark, sf_dir):
-    """Of an index over JSON lines."""
-    index = save(contents(_jsonl(spark, sf_dir).documents), scratch(spark, "index"), SIMPLE, buckets=16)
+    index = _saved_lines(spark, sf_dir)
     return ix.index_statistics(index.lexicon).select("number_of_lists", "average_list_size", F.lit(index.stats_row()[0]).cast("long").alias("num_docs"), F.lit(round(index.stats_row()[1], 6)).alias("avgdl"))
 
 
@@ -178,6 +194,38 @@ def search_json(spark, sf_dir):
     return answered.select("qid", F.col("Query").alias("query"), F.size("Results").cast("long").alias("n_results"), F.array_join(F.transform("Results", lambda r: r["ID"]), ",").alias("ids"))
 
 
+def search_lines(spark, sf_dir):
+    """What the command line prints."""
+    queries = query_table(spark, BATCH)
+    return se.as_json(se.results(queries, se.search(_index(spark, sf_dir), queries, "BM25", 10)))
+
+
+def query_file(spark, sf_dir):
+    path = scratch(spark, "queries")
+    lines = ["", "  erth onth  ", " ", "thre", "thre", "\tung keit\t"]
+    spark.createDataFrame([(q,) for q in lines], "value string").coalesce(1).write.text(path)
+    return read_queries(spark, path)
+
+
+def binary_postings(spark, sf_dir):
+    """Postings of two terms through files of the binary layout: sorted runs, merged to one posting file, read by offset."""
+    found = read_postings(_index(spark, sf_dir), ["thre", "ther"]).collect()  # a few hundred
+    with tempfile.TemporaryDirectory() as folder:
+        for block in range(3):
+            lists: dict[str, list] = {}
+            for r in found[block::3]:
+                lists.setdefault(r.term, []).append((r.doc_id, r.tf))
+            if lists:
+                binary.write_run(f"{folder}/{block}.run", lists)
+        merged: dict[str, list] = {}
+        for run in sorted(glob.glob(f"{folder}/*.run")):
+            for term, pairs in binary.read_run(run):
+                merged.setdefault(term, []).extend(map(tuple, pairs.tolist()))
+        lexicon = binary.write_postings(f"{folder}/all.bin", [(t, sorted(merged[t])) for t in sorted(merged)])
+        rows = [(t, d, f) for t, (at, n) in lexicon.items() for d, f in binary.read_postings(f"{folder}/all.bin", at, n).tolist()]
+    return spark.createDataFrame(rows, "term string, doc_id long, tf long")
+
+
 def stemmed_search(spark, sf_dir):
     return se.as_json(se.results(query_table(spark, BATCH), se.search(_index(spark, sf_dir, Analyzer()), query_table(spark, BATCH))))
 
@@ -195,7 +243,7 @@ QUERIES = {
     for f in (
         corpus_scan, tokenize, normalize_filters, postings, lexicon, doc_index, corpus_stats, index_statistics, posting_lists, partial_merge, max_docs, posting_lookup, query_terms,
         term_lookup, missing_term, conjunctive_match, match_metrics, tfidf_scores, bm25_scores, tfidf_top10, bm25_top10, search_json, stemmed_search,
-        counters, jsonl_corpus, jsonl_rejects, saved_statistics, galloping_metrics, run_averages,
+        counters, jsonl_corpus, jsonl_rejects, saved_lexicon, saved_doc_index, saved_statistics, galloping_metrics, run_averages, search_lines, query_file, binary_postings,
     )
 }
 
@@ -299,6 +347,12 @@ ORACLE_SQL = {
     "jsonl_corpus": _JSONL + "SELECT doc_id::BIGINT AS doc_id, original_id, content FROM docs",
     "jsonl_rejects": "SELECT CASE doc_id % 50 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'not an object' ELSE 'no id' END AS reason, count(*)::BIGINT AS n FROM documents WHERE doc_id % 50 < 3 GROUP BY reason",
     "saved_statistics": _JSONL_INDEX + "SELECT count(*)::BIGINT AS number_of_lists, coalesce(round(sum(df)::DOUBLE / count(*), 2), 0.0::DOUBLE) AS average_list_size, any_value(num_docs) AS num_docs, any_value(round(avgdl, 6)) AS avgdl FROM lexicon CROSS JOIN stats",
+    "saved_lexicon": _JSONL_INDEX + "SELECT term, df FROM lexicon",
+    "saved_doc_index": _JSONL_INDEX + "SELECT doc_id, original_id, length FROM (SELECT doc_id::BIGINT AS doc_id, d.original_id, i.length FROM doc_index i JOIN docs d USING (doc_id))",
+    "query_file": "SELECT * FROM (VALUES (0::BIGINT, 'erth onth'), (1::BIGINT, 'thre'), (2::BIGINT, 'thre'), (3::BIGINT, 'ung keit')) t(qid, raw)",
+    "binary_postings": _CTE + "SELECT term, doc_id, tf FROM postings WHERE term IN ('thre', 'ther')",
+    "search_lines": _CTE + """SELECT '{"Query":"' || raw || '","Results":[' || coalesce(string_agg('{"ID":"' || doc_id || '","Score":' || round(score, 4)::VARCHAR || '}', ',' ORDER BY rank), '') || ']}' AS value
+        FROM queries q LEFT JOIN (SELECT * FROM top WHERE rank <= 10) t ON q.qid = t.qid GROUP BY q.qid, raw""",
     "galloping_metrics": _SCANNED + "SELECT * FROM metrics",
     "run_averages": _SCANNED + """SELECT count(*)::BIGINT AS num_queries, (count(*) FILTER (WHERE early_terminated))::BIGINT AS num_early, coalesce(round(avg(skip_ratio), 6), 0.0::DOUBLE) AS mean_skip_ratio,
         coalesce(round(min(skip_ratio), 6), 0.0::DOUBLE) AS min_skip_ratio, coalesce(round(max(skip_ratio), 6), 0.0::DOUBLE) AS max_skip_ratio FROM metrics""",

@@ -15,7 +15,9 @@ def test_index_and_search(spark, tmp_path, capsys):
     found = cli.run_index(spark, SimpleNamespace(corpus=str(tmp_path / "c.jsonl"), index=str(tmp_path / "ix"), max_docs=4))
     assert set(found) == {"Index Size", "Elapsed Time", "Number of Lists", "Average List Size"} and found["Number of Lists"] == 6
     assert "invalid JSON" in capsys.readouterr().err
-    lines = cli.run_search(spark, SimpleNamespace(index=str(tmp_path / "ix"), queries=str(tmp_path / "q.txt"), ranker="BM25", k=3))
+    lines = cli.run_search(spark, SimpleNamespace(index=str(tmp_path / "ix"), queries=str(tmp_path / "q.txt"), ranker="BM25", k=3, stats=True))
+    report = json.loads(capsys.readouterr().err.splitlines()[-1])
+    assert report["num_queries"] == 2 and report["num_early"] == 1 and report["ms_a_query"] > 0
     answers = [json.loads(x) for x in lines]
     assert [a["Query"] for a in answers] == ["physics", "missing words"] and [r["ID"] for r in answers[0]["Results"]] == ["d0", "d1", "d2"] and answers[1]["Results"] == []
 
