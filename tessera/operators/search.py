@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analyzer import Analyzer
 from ..functions.scoring import Scorer, get_scorer
+from ..session import small_table
 from ..sources.index_store import term_bucket
 from .index import Index
 
@@ -84,13 +85,14 @@ def _match_planned(batch: dict[int, list[_Term]], index: Index) -> DataFrame:
     one = F.struct("df", "pos", "term", "tf").alias("one")
     single = [(q, t[0].df, t[0].pos, t[0].term) for q, t in batch.items() if len(t) == 1]
     if single:
-        rows = _of_terms(spark.createDataFrame(single, "qid long, df long, pos int, term string").coalesce(1), index, [t[0] for t in batch.values() if len(t) == 1])
+        rows = _of_terms(small_table(spark, single, "qid long, df long, pos int, term string"), index, [t[0] for t in batch.values() if len(t) == 1])
         parts.append(rows.select("qid", "doc_id", F.array(one).alias("postings")))
     several = {q: t for q, t in batch.items() if len(t) > 1}
     if several:
-        rare = spark.createDataFrame([(q, t[0].df, t[0].pos, t[0].term, len(t) - 1) for q, t in several.items()], "qid long, df long, pos int, term string, n_rest int").coalesce(1)
+        rare = small_table(spark, [(q, t[0].df, t[0].pos, t[0].term, len(t) - 1) for q, t in several.items()], "qid long, df long, pos int, term string, n_rest int")
         first = _of_terms(rare, index, [t[0] for t in several.values()]).select("qid", "doc_id", one, "n_rest")
-        others = spark.createDataFrame([(q, (x.df, x.pos, x.term), x.term) for q, t in several.items() for x in t[1:]], "qid long, other struct<df: long, pos: int, term: string>, term string").coalesce(1)
+        others = small_table(spark, [(q, x.df, x.pos, x.term) for q, t in several.items() for x in t[1:]], "qid long, df long, pos int, term string")
+        others = others.select("qid", F.struct("df", "pos", "term").alias("other"), "term")
         if sum(t[0].df for t in several.values()) <= HELD_POSTINGS:
             there = _of_terms(others, index, [x for t in several.values() for x in t[1:]]).select("qid", "doc_id", "other", "tf")
             parts.append(_matched(there.join(F.broadcast(first), ["qid", "doc_id"])))

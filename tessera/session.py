@@ -57,6 +57,17 @@ def keep(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """rows of numbers and strings as a table. Few rows become constants of the plan, which no job has to fetch."""
+    if not 0 < len(rows) <= 1000:
+        return spark.createDataFrame(rows, schema).coalesce(1)
+    names, kinds = zip(*(field.split() for field in schema.split(", ")), strict=True)
+    texts = {f"p{n}_{i}": v for n, row in enumerate(rows) for i, v in enumerate(row) if kinds[i] == "string"}
+    value = lambda n, i, v: f":p{n}_{i}" if kinds[i] == "string" else f"CAST({int(v)} AS {kinds[i]})"
+    lines = ", ".join("(" + ", ".join(value(n, i, v) for i, v in enumerate(row)) + ")" for n, row in enumerate(rows))
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(names)})", args=texts)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as the session runs tasks: a table of one small file would be read by one task."""
     tasks = df.sparkSession.sparkContext.defaultParallelism

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 
 def query_table(spark: SparkSession, queries: list[str]) -> DataFrame:
     """qid and raw, stripped; blank queries are dropped, repeats and order are kept."""
     found = [q.strip() for q in queries if q.strip()]
-    return spark.createDataFrame(list(enumerate(found)), "qid long, raw string")
+    return small_table(spark, list(enumerate(found)), "qid long, raw string")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

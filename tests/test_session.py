@@ -42,3 +42,11 @@ def test_shared_dir(spark):
 def test_spread(spark):
     assert session.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert session.spread(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
+
+
+def test_small_table(spark):
+    rows = [(1, "it's :p0_1 \\ \n", 2), (2**40, "é😀", -3)]
+    for many in (1, 600):
+        found = session.small_table(spark, rows * many, "a long, b string, c int")
+        assert found.dtypes == [("a", "bigint"), ("b", "string"), ("c", "int")] and sorted(map(tuple, found.collect())) == sorted(rows * many)
+    assert session.small_table(spark, [], "a long, b string").count() == 0
