@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, keep, key_runs, spans_of, text_batches, watched
@@ -38,7 +38,7 @@ COORDINATES = 64
 #: Share of equal signature coordinates from which a pair may be similar: over five deviations under 0.8.
 LIKELY = 0.53
 #: Documents and shingles of a candidate component that one task joins.
-BLOCK_DOCS, BLOCK_SHINGLES = 2000, 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 2000, 2_000_000
 #: Bytes of a table that every task may hold; beyond it rows are dealt out to meet.
 HELD_BYTES = 8 << 20
 #: Edges that a task contracts at a time.
@@ -189,14 +189,11 @@ def _descendants(branches: int, signed: bool):
     return run
 
 
-def _near_pivot(likely: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = (_signatures(batch.column("signature")) == _signatures(batch.column("pivot"))).mean(1) >= likely
-            names = ["node", "row", "signature", "least"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(near.astype(np.int32))], [*names, "near"])
-
-    return run
+def _near_pivot(signature: Column, pivot: Column) -> Column:
+    """1 where so many coordinates are equal that the two may be similar. Stays in the plan: a task that sends rows to Python twice holds twice the workers."""
+    at = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
+    same = F.aggregate(at, F.lit(0), lambda n, i: n + (F.substring(signature, 4 * i + 1, F.lit(4)) == F.substring(pivot, 4 * i + 1, F.lit(4))).cast("int"))
+    return (same >= F.lit(LIKELY * COORDINATES)).cast("int")
 
 
 def _edges(a: list, b: list) -> pa.RecordBatch:
@@ -236,9 +233,17 @@ def _compare(likely: float):
 def links(sets: list[np.ndarray], percent: int, asked) -> Iterator[tuple[int, np.ndarray]]:
     """For each index that asked yields, the indexes of all sets of at least percent similarity, by exact intersection sizes."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
-    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    by_id = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
-    first, edges = np.cumsum(often) - often, np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.append(True, every[1:] != every[:-1])[: len(every)]
+    first = np.flatnonzero(new)
+    often = np.diff(np.append(first, len(every)))
+    ids = np.empty(len(every), np.int32)
+    ids[order] = np.cumsum(new, dtype=np.int32) - 1
+    by_id = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    del every, order, new
     for i in asked:
         own = ids[edges[i] : edges[i + 1]]
         lengths = often[own]
@@ -411,7 +416,7 @@ def _candidate_edges(classes: DataFrame, trees: int, branches: int, leaf: int, d
             break
         firsts = signed.withColumnsRenamed({"row": "least", "signature": "pivot"})
         pivots = keep(counts.filter(F.col("n") > leaf).select("node", "least").join(firsts, "least"), f"pivots-{at}")
-        judged = members(pivots, 300 * seen["large"]).select("node", "row", "signature", "least", "pivot").mapInArrow(_near_pivot(LIKELY), "node long, row long, signature binary, least long, near int")
+        judged = members(pivots, 300 * seen["large"]).select("node", "row", "signature", "least", _near_pivot(F.col("signature"), F.col("pivot")).alias("near"))
         judged = keep(judged, f"judged-{at}")
         shares, seen = watched(judged.groupBy("node").agg(F.avg("near").alias("share")), f"shares-{at}", loose=F.count_if(F.col("share") < 0.5))
         tight = F.col("share") >= 0.5 if at < depth else F.lit(True)
