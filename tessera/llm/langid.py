@@ -26,8 +26,8 @@ SAMPLE_CHARS = 20000
 SPANS = 20
 #: Documents over all languages; with many languages each gets fewer, though 20 at least.
 SAMPLE_TOTAL = 12000
-#: Characters scored or counted at a time, to bound memory.
-SCORE_CHARS = 500_000
+#: Characters counted, and scored, at a time, to bound memory.
+COUNT_CHARS, SCORE_CHARS = 500_000, 150_000
 #: Bits of a character's number: the 65,534 most frequent code points of the sample have one, any other is unknown.
 _BITS = 16
 _UNKNOWN = (1 << _BITS) - 1
@@ -156,7 +156,7 @@ class Models:
 
 
 def _tally(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Different values of all parts, ascending, and how often each occurs; about SCORE_CHARS values are held at a time."""
+    """Different values of all parts, ascending, and how often each occurs; about COUNT_CHARS values are held at a time."""
     grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held, size = [], 0
 
@@ -171,7 +171,7 @@ def _tally(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for part in parts:
         held.append(part)
         size += len(part)
-        if size >= SCORE_CHARS:
+        if size >= COUNT_CHARS:
             grams, counts = merged()
             held, size = [], 0
     return merged() if held else (grams, counts)

@@ -165,6 +165,7 @@ def test_counted_in_parts(monkeypatch):
     labelled = [(lang, invented(rng, lang, 40)) for lang in SYLLABLES for _ in range(12)]
     whole = langid.fit(labelled)
     monkeypatch.setattr(langid, "SCORE_CHARS", 150)
+    monkeypatch.setattr(langid, "COUNT_CHARS", 150)
     parts = langid.fit(iter(labelled))
     assert (whole.alphabet == parts.alphabet).all() and whole.sharpness == parts.sharpness
     for a, b in zip([*whole.grams, *whole.contexts], [*parts.grams, *parts.contexts], strict=True):
