@@ -49,13 +49,6 @@ def text_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def short(batches: Iterable[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of so many at most."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def key_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """From batches sorted by a non-null long column: tables that hold whole runs of equal keys. Only the last run of a batch is held back."""
     held: list[pa.RecordBatch] = []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short
+from .common import keep, text_batches
 
 ORDER = 4
 SAMPLE_DOCS = 1500
@@ -299,14 +299,15 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)  # a few MB, bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in short(batches):
+        for batch in batches:
             found = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))],
                 ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PREDICTION)
+    with text_batches(docs.sparkSession):
+        return keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PREDICTION), "languages")
 
 
 def keep_known(docs: DataFrame, models: Models) -> DataFrame:
@@ -318,10 +319,11 @@ def keep_known(docs: DataFrame, models: Models) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in short(batches):
+        for batch in batches:
             yield batch.filter(pa.array([not f[3] for f in shared.value.predict(batch.column("text").to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    with text_batches(docs.sparkSession):
+        return keep(docs.mapInArrow(run, docs.schema), "known-languages")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
