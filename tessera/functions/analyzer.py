@@ -11,7 +11,7 @@ import json
 import re
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +32,11 @@ _RULES = [
     (re.compile(r"\.{2,}|--|[;@#$%&?!*\]\[(){}<>]"), r" \g<0> "),
     (re.compile(r"(?<!\.)\.(?=[\])}>\"'»”’ ]*\s*$)"), " . "),
     (re.compile(r"(?<=[^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T|')(?=\s|$)"), r" \1 "),
-    *[(re.compile(rf"(?i)\b({a})({b})\b"), r"\1 \2") for a, b in (x.split("|") for x in _JOINED)],
+    (re.compile(r"(?i)\b(?:" + "|".join(f"{a}(?={b}\\b)" for a, b in (x.split("|") for x in _JOINED)) + ")"), r"\g<0> "),  # in one pass over the text
     (re.compile(r"(?i)(?<!\w)'t(is|was)\b"), r" 't \1"),
 ]
 _ALNUM = re.compile(r"[a-z0-9]")
+_TOKENS = pa.list_(pa.string())
 _stems: dict[str, str] = {}
 
 
@@ -128,20 +129,28 @@ class Analyzer:
         if self.kind == "simple":
             words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
             return F.filter(words, lambda t: t.rlike("[a-z0-9]"))
-        return F.pandas_udf(lambda texts: texts.map(treebank_tokens), "array<string>")(text)
+
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array(map(treebank_tokens, texts.to_pylist()), _TOKENS)
+
+        return F.arrow_udf(run, "array<string>")(text)
 
     def terms(self, text: Column) -> Column:
         """Terms in order, with repeats; null text has none."""
         if self.kind == "treebank":
 
-            def run(texts: pd.Series) -> pd.Series:
-                return texts.map(lambda t: self.normalize(treebank_tokens(t)))
+            def run(texts: pa.Array) -> pa.Array:
+                return pa.array((self.normalize(treebank_tokens(t)) for t in texts.to_pylist()), _TOKENS)
 
-            return F.pandas_udf(run, "array<string>")(text)
+            return F.arrow_udf(run, "array<string>")(text)
         kept = F.filter(self.tokens(text), self.passes)
         if not self.stemmed:
             return kept
-        return F.pandas_udf(lambda tokens: tokens.map(lambda ts: [s for t in ts if len(s := _stem(t)) >= self.min_length]), "array<string>")(kept)
+
+        def stems(tokens: pa.Array) -> pa.Array:
+            return pa.array(([s for t in ts if len(s := _stem(t)) >= self.min_length] for ts in tokens.to_pylist()), _TOKENS)
+
+        return F.arrow_udf(stems, "array<string>")(kept)
 
     def passes(self, token: Column) -> Column:
         """The filters before stemming as a predicate on a token, the cheap ones first."""

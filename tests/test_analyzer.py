@@ -72,3 +72,12 @@ def test_long_runs_take_linear_time(text):
     began = time.time()
     treebank_tokens(text)
     assert time.time() - began < 5
+
+
+def test_contractions():
+    """Words that a contraction rule cuts in two, in any case and next to each other; parts of longer words stay."""
+    cut = {"cannot": "can not", "Gimme": "gim me", "gonna": "gon na", "GOTTA": "got ta", "lemme": "lem me", "wanna": "wan na"}
+    for word, parts in cut.items():
+        assert treebank_tokens(f"we {word} go") == ["we", *parts.split(), "go"]
+        assert treebank_tokens(f"{word}s un{word}") == [f"{word}s".lower(), f"un{word}".lower()]
+    assert treebank_tokens("cannot gonna cannot") == ["can", "not", "gon", "na", "can", "not"]
