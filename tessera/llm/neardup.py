@@ -1,13 +1,14 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Documents with equal shingle sets form a class. Each class descends TREES independent trees: a node chooses BRANCHES
-coordinates of a minwise signature, and a document goes to the child named by its token there, so a similar pair stays
-together in a child with its similarity as the chance. A node of at most LEAF documents is compared exhaustively by
-signature. A larger one branches again, two levels at a time, unless half of it is likely similar to its first document:
-such a group would not split, so it becomes candidate edges as a whole. With two branches at a level a pair at similarity
-0.8 survives a tree of any depth with a chance of at least 15/16 over all coordinates. The trees share COORDINATES
-coordinates, though, and leaves drop pairs under LIKELY of them: with ideal minwise tokens a pair at 0.8 is missed with a
-chance of about 2 * 10**-6, of which 3.2 * 10**-7 is that cut.
+Documents with equal shingle sets form a class. Each class descends TREES trees. A root is named by the tokens at ROOT
+coordinates of a minwise signature, so that documents which share no more than a line part at once: a node of a large group
+makes BRANCHES**2 rows of each of its rows. Below, a node chooses BRANCHES coordinates, and a document goes to the child
+named by its token there, so a similar pair stays together in a child with its similarity as the chance. A node of at most
+LEAF documents is compared exhaustively by signature. A larger one branches again, two levels at a time, unless half of it
+is likely similar to its first document: such a group would not split, so it becomes candidate edges as a whole. The trees
+share COORDINATES coordinates, and leaves drop pairs under LIKELY of them. With ideal minwise tokens a pair at 0.8 is missed
+with a chance of 3.2 * 10**-7 by that cut, and beyond it of 6 * 10**-10 where the roots are leaves, 2.5 * 10**-7 after DEPTH
+branchings and 8 * 10**-7 with levels without end.
 
 Leaves give edges of a candidate graph, enough to connect what may be similar. Its components are then joined exactly:
 whole shingle sets meet once in each component, an inverted index gives true intersection sizes, and links are followed
@@ -29,7 +30,9 @@ from .common import forget, keep, key_runs, spans_of, text_batches, watched
 
 SHINGLE = 5
 PERCENT = 80
-TREES = 8
+TREES = 32
+#: Coordinates that name a root; with TREES of them each coordinate serves one root.
+ROOT = 2
 BRANCHES = 2
 LEAF = 2048
 #: Times that a node branches after its root, two levels each.
@@ -161,14 +164,17 @@ def _rows(rows: np.ndarray, nodes: np.ndarray, signatures: pa.Array | None) -> p
     return pa.RecordBatch.from_arrays(columns, ["node", "row"]) if signatures is None else pa.RecordBatch.from_arrays([*columns, signatures], ["node", "row", "signature"])
 
 
-def _roots(trees: int, branches: int, signed: bool):
-    """The nodes of the first level that each row goes to, with its signature or without."""
+def _roots(trees: int, signed: bool):
+    """The root of each tree that each row goes to, with its signature or without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, rows = _signatures(batch.column("signature")), batch.column("row").to_numpy()
-            for n in range(trees * branches):
-                yield _rows(rows, mix(tokens[:, n % COORDINATES].astype(np.uint64) ^ mix(np.array([n + 1], np.uint64) << np.uint64(32))), batch.column("signature") if signed else None)
+            for n in range(trees):
+                nodes = np.full(len(rows), n + 1, np.uint64)
+                for j in range(ROOT):
+                    nodes = mix(mix(nodes) ^ tokens[:, (n * ROOT + j) % COORDINATES].astype(np.uint64))
+                yield _rows(rows, nodes, batch.column("signature") if signed else None)
 
     return run
 
@@ -398,7 +404,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _candidate_edges(classes: DataFrame, trees: int, branches: int, leaf: int, depth: int) -> DataFrame:
     """Edges of the candidate graph over classes (row, signature)."""
-    source, step, leaves, found = classes.select("row", "signature"), lambda signed: _roots(trees, branches, signed), None, []
+    source, step, leaves, found = classes.select("row", "signature"), lambda signed: _roots(trees, signed), None, []
     signed = classes.select("row", "signature")
 
     def members(chosen: DataFrame, size: int) -> DataFrame:

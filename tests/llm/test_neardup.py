@@ -119,3 +119,27 @@ def test_recall_of_trees(spark):
     rng.shuffle(rows)
     found = neardup.groups(docs_table(spark, rows), k=1, leaf=2, depth=6)
     assert found.filter(F.col("component_id") % 2 == 1).count() == 0
+
+
+def test_rows_of_a_shared_line(spark, monkeypatch):
+    """Documents that share a line and little else don't become many rows of the trees, and no link among them is lost."""
+    made, descendants = spark.sparkContext.accumulator(0), neardup._descendants
+
+    def counting(*options):
+        run = descendants(*options)
+
+        def counted(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(neardup, "_descendants", counting)
+    line, pool = " ".join(f"line{i}" for i in range(14)), [f"w{i}" for i in range(20_000)]
+    rng = random.Random(11)
+    rows = [(i, f"{line} {' '.join(rng.choices(pool, k=60))}", "en", "a") for i in range(380)]
+    rows += [(400 + i, f"{r[1]} more", "en", "a") for i, r in enumerate(rows[:20])]
+    found = neardup.groups(docs_table(spark, rows), k=4, leaf=60).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(rows, 4))
+    assert made.value <= 4 * len(rows)
